@@ -327,3 +327,183 @@ def q_evaluate_model(spark, sf):
 @query
 def q_error_rows(spark, sf):
     return EV.error_rows(_nb_scores(ctx(spark, sf))).select("doc_id", "label", "prediction")
+
+
+# ------------------------------------------------------- 2.9 lexicon scoring
+from ..operators import inference as INF  # noqa: E402
+from ..operators import lexicon as LX  # noqa: E402
+
+# --- fixed values: board scores the reference saved by hand (accuracy, F1)
+SAVED_BOARD = [("svm_randomized_search", 0.8881, 0.8905),
+               ("random_forest_randomized_search", 0.8567, 0.8609),
+               ("boosting_randomized_search", 0.8741, 0.8771)]
+
+
+def _lexicon(c: Ctx) -> DataFrame:
+    return LX.induce_lexicon(_nb_model(c))
+
+
+def _vader(c: Ctx) -> DataFrame:
+    """Lexicon scores of the test reviews: (doc_id, label, text, neg, neu, pos, compound)."""
+    docs = c.split("test").select("doc_id", "label", "text")
+    return LX.lexicon_score(docs, c.split_tokens("test").select("doc_id", "token"), _lexicon(c))
+
+
+def _roberta(c: Ctx) -> DataFrame:
+    """Three-class scores from logits [-s, 0, s] of the Naive Bayes score s."""
+    s = _nb_scores(c)
+    p = INF.softmax(F.array(-F.col("score"), F.lit(0.0), F.col("score")))
+    return s.select("doc_id", "label", p[0].alias("roberta_neg"), p[1].alias("roberta_neu"), p[2].alias("roberta_pos"))
+
+
+@query
+def q_induce_lexicon(spark, sf):
+    return _lexicon(ctx(spark, sf))
+
+
+@query
+def q_lexicon_score(spark, sf):
+    return _vader(ctx(spark, sf)).select("doc_id", "label", "neg", "neu", "pos", "compound")
+
+
+@query
+def q_lexicon_predict(spark, sf):
+    v = _vader(ctx(spark, sf))
+    return v.select("doc_id", "label", "compound", (F.col("compound") > 0).cast("int").alias("prediction"))
+
+
+@query
+def q_lexicon_context(spark, sf):
+    c = ctx(spark, sf)
+    docs = TXT.tokenize(c.split("test").select("doc_id", "text"), "text", "tokens")
+    raw = TXT.explode_tokens(docs, "tokens", ("doc_id",)).withColumnRenamed("token", "word")
+    raw = TXT.stem(raw, "word", "stem")
+    return LX.context_valences(raw, _lexicon(c)).where(F.col("valence") != 0)
+
+
+@query
+def q_prefix_columns(spark, sf):
+    v = _vader(ctx(spark, sf))
+    return v.select("doc_id", *[F.col(k).alias("vader_" + k) for k in ("neg", "neu", "pos", "compound")])
+
+
+@query
+def q_score_mean_by_label(spark, sf):
+    return E.mean_by_label(_vader(ctx(spark, sf)), "compound")
+
+
+@query
+def q_subscore_mean_by_label(spark, sf):
+    return E.submean_by_label(_vader(ctx(spark, sf)), ["pos", "neu", "neg"])
+
+
+@query
+def q_score_pair_grid(spark, sf):
+    c = ctx(spark, sf)
+    v = _vader(c).select("doc_id", "label", *[F.col(k).alias("vader_" + k) for k in ("neg", "neu", "pos")])
+    both = v.join(_roberta(c).drop("label"), "doc_id")
+    return E.pair_correlations(both, ["vader_neg", "vader_neu", "vader_pos", "roberta_neg", "roberta_neu", "roberta_pos"])
+
+
+@query
+def q_join_scores_left(spark, sf):
+    c = ctx(spark, sf)
+    return _vader(c).select("doc_id", "compound").join(c.sreviews.select("doc_id", "label", "split"), "doc_id", "left")
+
+
+@query
+def q_join_scores_right(spark, sf):
+    c = ctx(spark, sf)
+    return (_vader(c).select("doc_id", "compound")
+            .join(c.split("test").select("doc_id", "label"), "doc_id", "right"))
+
+
+@query
+def q_combine_two_scorers(spark, sf):
+    c = ctx(spark, sf)
+    v = _vader(c).select("doc_id", *[F.col(k).alias("vader_" + k) for k in ("neg", "neu", "pos", "compound")])
+    r = _roberta(c).drop("label")
+    return v.join(r, "doc_id").select("doc_id", "vader_neg", "vader_neu", "vader_pos", "vader_compound",
+                                      r6("roberta_neg").alias("roberta_neg"), r6("roberta_neu").alias("roberta_neu"),
+                                      r6("roberta_pos").alias("roberta_pos"))
+
+
+@query
+def q_most_confident_wrong(spark, sf):
+    c = ctx(spark, sf)
+    v = _vader(c).select("doc_id", "label", F.col("pos").alias("vader_pos"), F.col("neg").alias("vader_neg"))
+    both = v.join(_roberta(c).drop("label"), "doc_id")
+    forms = [("vader_pos_label0", "vader_pos", 0), ("roberta_pos_label0", "roberta_pos", 0),
+             ("vader_neg_label1", "vader_neg", 1), ("roberta_neg_label1", "roberta_neg", 1)]
+    out = None
+    for name, col, lab in forms:
+        one = EV.most_confident_wrong(both, col, lab).select(F.lit(name).alias("form"), "doc_id",
+                                                            r6(col).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def q_truncate_input(spark, sf):
+    cp = ctx(spark, sf).corpus
+    t = INF.truncate_tokens(F.col("tokens"), K.TRUNCATE_TOKENS)
+    return cp.select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.array_join(t, " ").alias("input_text"))
+
+
+@query
+def q_softmax_scores(spark, sf):
+    r = _roberta(ctx(spark, sf))
+    return r.select("doc_id", *[r6(k).alias(k) for k in ("roberta_neg", "roberta_neu", "roberta_pos")])
+
+
+@query
+def q_log_odds_compound(spark, sf):
+    s = _nb_scores(ctx(spark, sf))
+    logits = F.array(-F.col("score"), F.lit(0.0), F.col("score"))
+    return s.select("doc_id", r6(INF.log_odds_from_logits(logits, 2, 0)).alias("roberta_compound"))
+
+
+@query
+def q_argmax_class(spark, sf):
+    s = _nb_scores(ctx(spark, sf))
+    logits = F.array(-F.col("score"), F.lit(0.0), F.col("score"))
+    return s.select("doc_id", INF.argmax(logits).cast("int").alias("predicted_class"))
+
+
+@query
+def q_batch_score(spark, sf):
+    c = ctx(spark, sf)
+    return INF.batch_score(c.split("test").select("doc_id", "label", "text"))
+
+
+@query
+def q_batch_score_safe(spark, sf):
+    c = ctx(spark, sf)
+    return INF.batch_score_safe(c.split("test").select("doc_id", "text"))
+
+
+@query
+def q_verdict_label(spark, sf):
+    c = ctx(spark, sf)
+    v = INF.verdict_label(c.split("test").select("doc_id", "label", "text"))
+    return v.select("doc_id", "label", "verdict", "confidence")
+
+
+def _board(c: Ctx) -> DataFrame:
+    spark = c.spark
+    nb = EV.evaluate_model(_nb_scores(c), "naive_bayes")
+    lex = EV.evaluate_model(_vader(c).withColumn("prediction", (F.col("compound") > 0).cast("int")), "lexicon")
+    rob = EV.evaluate_model(_roberta(c).withColumn("prediction", (F.col("roberta_pos") > F.col("roberta_neg")).cast("int")),
+                            "log_odds")
+    saved = spark.createDataFrame(SAVED_BOARD, "model string, accuracy double, f1_score double")
+    return EV.model_board(saved, nb, lex, rob)
+
+
+@query
+def q_model_board(spark, sf):
+    return _board(ctx(spark, sf))
+
+
+@query
+def q_melt_board(spark, sf):
+    return EV.melt_board(_board(ctx(spark, sf)))

@@ -395,3 +395,198 @@ def _():
 @sql("error_rows")
 def _():
     return with_(*NB) + "SELECT doc_id, label, prediction FROM scores WHERE label <> prediction"
+
+
+# ---------------------------------------------------------------- 2.9 lexicon
+LEXICON = ("lexicon AS (SELECT token, round(greatest(-4.0e0, least(4.0e0, loglikelihood)), 3) AS valence "
+           f"FROM model WHERE n_pos + n_neg >= {K.LEXICON_MIN_COUNT})")
+
+
+def _amp(t="text"):
+    ex = f"(length(coalesce({t}, '')) - length(replace(coalesce({t}, ''), '!', '')))"
+    qm = f"(length(coalesce({t}, '')) - length(replace(coalesce({t}, ''), '?', '')))"
+    return (f"(least({ex}, 4) * {K.EXCLAMATION_STEP} + CASE WHEN {qm} > 3 THEN {K.QUESTION_MAX} "
+            f"WHEN {qm} > 1 THEN {qm} * {K.QUESTION_STEP} ELSE 0.0e0 END)")
+
+
+VAL = ("val AS (SELECT t.doc_id, coalesce(x.valence, 0.0e0) AS valence FROM tok t LEFT JOIN lexicon x "
+       "ON t.token = x.token WHERE t.split = 'test')")
+VSUM = ("vsum AS (SELECT r.doc_id, r.label, r.text, s.vs, s.ps, s.ns, s.nu, coalesce(s.n, 0) AS n, "
+        f"{_amp('r.text')} AS amp FROM sreviews r LEFT JOIN (SELECT doc_id, sum(valence) AS vs, "
+        "sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0.0e0 END) AS ps, "
+        "sum(CASE WHEN valence < 0 THEN valence - 1 ELSE 0.0e0 END) AS ns, "
+        "count(*) FILTER (WHERE valence = 0) AS nu, count(*) AS n FROM val GROUP BY doc_id) s "
+        "ON r.doc_id = s.doc_id WHERE r.split = 'test')")
+VADJ = ("vadj AS (SELECT *, CASE WHEN vs > 0 THEN vs + amp WHEN vs < 0 THEN vs - amp ELSE vs END AS s2, "
+        "CASE WHEN ps > -ns THEN ps + amp ELSE ps END AS p2, CASE WHEN ps < -ns THEN ns - amp ELSE ns END AS n2 FROM vsum)")
+VADER = ("vader AS (SELECT doc_id, label, text, "
+         "CASE WHEN n > 0 THEN round(abs(n2 / (p2 - n2 + nu)), 3) ELSE 0.0e0 END AS neg, "
+         "CASE WHEN n > 0 THEN round(abs(nu / (p2 - n2 + nu)), 3) ELSE 0.0e0 END AS neu, "
+         "CASE WHEN n > 0 THEN round(abs(p2 / (p2 - n2 + nu)), 3) ELSE 0.0e0 END AS pos, "
+         f"CASE WHEN n > 0 THEN round(s2 / sqrt(s2 * s2 + {K.VALENCE_ALPHA}), 4) ELSE 0.0e0 END AS compound FROM vadj)")
+ROBERTA = ("roberta AS (SELECT doc_id, label, "
+           "exp(-score - greatest(-score, 0.0e0, score)) / (exp(-score - greatest(-score, 0.0e0, score)) + exp(0.0e0 - greatest(-score, 0.0e0, score)) + exp(score - greatest(-score, 0.0e0, score))) AS roberta_neg, "
+           "exp(0.0e0 - greatest(-score, 0.0e0, score)) / (exp(-score - greatest(-score, 0.0e0, score)) + exp(0.0e0 - greatest(-score, 0.0e0, score)) + exp(score - greatest(-score, 0.0e0, score))) AS roberta_neu, "
+           "exp(score - greatest(-score, 0.0e0, score)) / (exp(-score - greatest(-score, 0.0e0, score)) + exp(0.0e0 - greatest(-score, 0.0e0, score)) + exp(score - greatest(-score, 0.0e0, score))) AS roberta_pos "
+           "FROM scores)")
+LEX = NB + [LEXICON, VAL, VSUM, VADJ, VADER]
+
+
+@sql("induce_lexicon")
+def _():
+    return with_(*TOKBASE, NB_FREQS, NB_MODEL, LEXICON) + "SELECT token, valence FROM lexicon"
+
+
+@sql("lexicon_score")
+def _():
+    return with_(*LEX) + "SELECT doc_id, label, neg, neu, pos, compound FROM vader"
+
+
+@sql("lexicon_predict")
+def _():
+    return with_(*LEX) + "SELECT doc_id, label, compound, CAST(compound > 0 AS INTEGER) AS prediction FROM vader"
+
+
+@sql("lexicon_context")
+def _():
+    rawctx = (f"rawctx AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS word FROM "
+              f"(SELECT doc_id, {TX.tokenize_sql(D, 'text')} AS t FROM sreviews WHERE split = 'test'))")
+    rstem = f"rstem AS ({stem_table('SELECT DISTINCT word AS w FROM rawctx')})"
+
+    def inlist(xs):
+        return "(" + ", ".join(D.lit(x) for x in xs) + ")"
+    lags = []
+    for i in (1, 2, 3):
+        p = f"lag(word, {i}) OVER (PARTITION BY doc_id ORDER BY pos)"
+        lags.append(p)
+    boost = " + ".join(
+        f"coalesce(CASE WHEN {p} IN {inlist(K.BOOSTERS_UP)} THEN {K.BOOST_INCREMENT} WHEN {p} IN {inlist(K.BOOSTERS_DOWN)} "
+        f"THEN {K.BOOST_DECREMENT} ELSE 0.0e0 END * {K.DISTANCE_DAMPING[i]}, 0.0e0)" for i, p in enumerate(lags))
+    negs = " + ".join(f"coalesce(CAST({p} IN {inlist(K.NEGATIONS)} AS INTEGER), 0)" for p in lags)
+    fb = f"min(CASE WHEN word = '{K.CONTRAST_WORD}' THEN pos END) OVER (PARTITION BY doc_id)"
+    ctxv = (f"ctxv AS (SELECT doc_id, pos, word, v0, ({boost}) AS boost, ({negs}) AS negc, {fb} AS fb FROM "
+            f"(SELECT r.doc_id, r.pos, r.word, coalesce(x.valence, 0.0e0) AS v0 FROM rawctx r JOIN rstem s ON r.word = s.o "
+            f"LEFT JOIN lexicon x ON s.stem = x.token))")
+    v = ("(CASE WHEN v0 > 0 THEN v0 + boost WHEN v0 < 0 THEN v0 - boost ELSE v0 END) "
+         f"* pow({K.NEGATION_SCALAR}, negc) * CASE WHEN fb IS NULL THEN 1.0e0 WHEN pos < fb THEN {K.BUT_BEFORE} "
+         f"WHEN pos > fb THEN {K.BUT_AFTER} ELSE 1.0e0 END")
+    return with_(*TOKBASE, NB_FREQS, NB_MODEL, LEXICON, rawctx, rstem, ctxv) + (
+        f"SELECT doc_id, pos, word, round({v}, 6) AS valence FROM ctxv WHERE round({v}, 6) <> 0")
+
+
+@sql("prefix_columns")
+def _():
+    return with_(*LEX) + ("SELECT doc_id, neg AS vader_neg, neu AS vader_neu, pos AS vader_pos, "
+                          "compound AS vader_compound FROM vader")
+
+
+def _mean_ci(src, val, label="label", extra=""):
+    g = f"{label}{', ' + extra if extra else ''}"
+    return (f"SELECT {g}, round(avg({val}), 6) AS mean, round(stddev_samp({val}), 6) AS std, count({val})::BIGINT AS n, "
+            f"round(avg({val}) - 1.96 * stddev_samp({val}) / sqrt(count({val})), 6) AS ci_low, "
+            f"round(avg({val}) + 1.96 * stddev_samp({val}) / sqrt(count({val})), 6) AS ci_high FROM {src} GROUP BY {g}")
+
+
+@sql("score_mean_by_label")
+def _():
+    return with_(*LEX) + _mean_ci("vader", "compound")
+
+
+@sql("subscore_mean_by_label")
+def _():
+    src = ("(SELECT label, 'pos' AS metric, pos AS value FROM vader UNION ALL SELECT label, 'neu', neu FROM vader "
+           "UNION ALL SELECT label, 'neg', neg FROM vader)")
+    return with_(*LEX) + _mean_ci(src, "value", "label", "metric")
+
+
+@sql("score_pair_grid")
+def _():
+    cols = ["vader_neg", "vader_neu", "vader_pos", "roberta_neg", "roberta_neu", "roberta_pos"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    src = ("(SELECT v.label, v.neg AS vader_neg, v.neu AS vader_neu, v.pos AS vader_pos, r.roberta_neg, r.roberta_neu, "
+           "r.roberta_pos FROM vader v JOIN roberta r ON v.doc_id = r.doc_id)")
+    parts = [f"SELECT label, '{a}' AS var_x, '{b}' AS var_y, round(corr({a}, {b}), 6) AS corr FROM {src} GROUP BY label"
+             for a, b in pairs]
+    return with_(*LEX, ROBERTA) + " UNION ALL ".join(parts)
+
+
+@sql("join_scores_left")
+def _():
+    return with_(*LEX) + ("SELECT v.doc_id, v.compound, r.label, r.split FROM vader v LEFT JOIN sreviews r "
+                          "ON v.doc_id = r.doc_id")
+
+
+@sql("join_scores_right")
+def _():
+    return with_(*LEX) + ("SELECT r.doc_id, v.compound, r.label FROM vader v RIGHT JOIN "
+                          "(SELECT doc_id, label FROM sreviews WHERE split = 'test') r ON v.doc_id = r.doc_id")
+
+
+@sql("combine_two_scorers")
+def _():
+    return with_(*LEX, ROBERTA) + (
+        "SELECT v.doc_id, v.neg AS vader_neg, v.neu AS vader_neu, v.pos AS vader_pos, v.compound AS vader_compound, "
+        "round(r.roberta_neg, 6) AS roberta_neg, round(r.roberta_neu, 6) AS roberta_neu, round(r.roberta_pos, 6) AS roberta_pos "
+        "FROM vader v JOIN roberta r ON v.doc_id = r.doc_id")
+
+
+@sql("most_confident_wrong")
+def _():
+    bothsc = ("bothsc AS (SELECT v.doc_id, v.label, v.pos AS vader_pos, v.neg AS vader_neg, r.roberta_pos, r.roberta_neg "
+            "FROM vader v JOIN roberta r ON v.doc_id = r.doc_id)")
+    forms = [("vader_pos_label0", "vader_pos", 0), ("roberta_pos_label0", "roberta_pos", 0),
+             ("vader_neg_label1", "vader_neg", 1), ("roberta_neg_label1", "roberta_neg", 1)]
+    parts = [f"(SELECT '{n}' AS form, doc_id, round({c}, 6) AS score FROM bothsc WHERE label = {lab} "
+             f"ORDER BY {c} DESC, doc_id LIMIT 1)" for n, c, lab in forms]
+    return with_(*LEX, ROBERTA, bothsc) + " UNION ALL ".join(parts)
+
+
+@sql("truncate_input")
+def _():
+    return with_(*TOKBASE) + (
+        "SELECT r.doc_id, coalesce(t.n, 0)::BIGINT AS n_tokens, coalesce(t.s, '') AS input_text FROM sreviews r LEFT JOIN "
+        f"(SELECT doc_id, count(*) AS n, string_agg(token, ' ' ORDER BY pos) AS s FROM tok WHERE pos < {K.TRUNCATE_TOKENS} "
+        "GROUP BY doc_id) t ON r.doc_id = t.doc_id")
+
+
+@sql("softmax_scores")
+def _():
+    return with_(*NB, ROBERTA) + ("SELECT doc_id, round(roberta_neg, 6) AS roberta_neg, round(roberta_neu, 6) AS roberta_neu, "
+                                  "round(roberta_pos, 6) AS roberta_pos FROM roberta")
+
+
+@sql("log_odds_compound")
+def _():
+    return with_(*NB) + "SELECT doc_id, round(score - (-score), 6) AS roberta_compound FROM scores"
+
+
+@sql("argmax_class")
+def _():
+    return with_(*NB) + ("SELECT doc_id, (CASE WHEN -score >= greatest(0.0e0, score) THEN 0 WHEN 0.0e0 >= score THEN 1 "
+                         "ELSE 2 END)::INTEGER AS predicted_class FROM scores")
+
+
+def _board_sql():
+    def ev(name, src, pred):
+        return (f"SELECT '{name}' AS model, round({ratio(f'count(*) FILTER (WHERE label = {pred})', 'count(*)')}, 6) AS accuracy, "
+                f"round({ratio(f'2 * count(*) FILTER (WHERE label = 1 AND {pred} = 1)', f'count(*) FILTER (WHERE label = 1) + count(*) FILTER (WHERE {pred} = 1)')}, 6) AS f1_score FROM {src}")
+    saved = " UNION ALL ".join(f"SELECT '{m}' AS model, {a}::DOUBLE AS accuracy, {f}::DOUBLE AS f1_score"
+                               for m, a, f in [("svm_randomized_search", 0.8881, 0.8905),
+                                               ("random_forest_randomized_search", 0.8567, 0.8609),
+                                               ("boosting_randomized_search", 0.8741, 0.8771)])
+    return ("board AS (" + " UNION ALL ".join([
+        saved, ev("naive_bayes", "scores", "prediction"),
+        ev("lexicon", "vader", "CAST(compound > 0 AS INTEGER)"),
+        ev("log_odds", "roberta", "CAST(roberta_pos > roberta_neg AS INTEGER)")]) + ")")
+
+
+@sql("model_board")
+def _():
+    return with_(*LEX, ROBERTA, _board_sql()) + "SELECT model, accuracy, f1_score FROM board ORDER BY f1_score, model"
+
+
+@sql("melt_board")
+def _():
+    return with_(*LEX, ROBERTA, _board_sql()) + (
+        "SELECT model, 'accuracy' AS Metric, accuracy AS Score FROM board UNION ALL "
+        "SELECT model, 'f1_score', f1_score FROM board")
