@@ -507,3 +507,208 @@ def q_model_board(spark, sf):
 @query
 def q_melt_board(spark, sf):
     return EV.melt_board(_board(ctx(spark, sf)))
+
+
+# --------------------------------------------------------------- 2.11 retrieval
+from ..operators import retrieval as RT  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+def _chunks(c: Ctx) -> DataFrame:
+    """Fixed-stride chunks of every review, label carried as metadata."""
+    return RT.chunk_documents(c.reviews.select("doc_id", "label", "text"), "doc_id", "text", carry=("label",))
+
+
+def _chunk_vectors(c: Ctx) -> DataFrame:
+    return RT.embed(_chunks(c), "text", "embedding")
+
+
+def _round_vec(col):
+    return F.transform(F.col(col), lambda x: F.round(x, 6))
+
+
+@query
+def q_chunk_documents(spark, sf):
+    docs = ctx(spark, sf).table("documents").select("doc_id", "text")
+    return RT.chunk_documents(docs, "doc_id", "text")
+
+
+@query
+def q_chunk_documents_recursive(spark, sf):
+    docs = ctx(spark, sf).table("documents").select("doc_id", "text")
+    return RT.chunk_documents_recursive(docs, "doc_id", "text")
+
+
+@query
+def q_embed_chunks(spark, sf):
+    v = _chunk_vectors(ctx(spark, sf))
+    return v.select("doc_id", "chunk_no", _round_vec("embedding").alias("embedding"))
+
+
+@query
+def q_write_vector_table(spark, sf):
+    c = ctx(spark, sf)
+    v = _chunk_vectors(c).withColumn("bucket", F.expr(SPARK.hex8("CAST(doc_id AS STRING)") + " % 8").cast("int"))
+    back = S.write_vector_table(v, scratch_path(spark, "vectors"), "bucket")
+    return back.select("doc_id", "chunk_no", "bucket", F.size("embedding").cast("bigint").alias("dims"))
+
+
+@query
+def q_build_vector_index(spark, sf):
+    c = ctx(spark, sf)
+    _, t = RT.lsh_index(_chunk_vectors(c), "embedding")
+    path = scratch_path(spark, "vector_index")
+    t.select("doc_id", "chunk_no", "label", "text", "embedding", "hashes").write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("doc_id", "chunk_no", F.size("hashes").cast("bigint").alias("n_hashes"))
+
+
+@query
+def q_retrieve_top_k(spark, sf):
+    e = ctx(spark, sf).table("embeddings")
+    r = RT.top_k_self(e, "vec_id", "embedding", K.TOP_K)
+    return r.select("query_id", "rank", "vec_id", r6("score").alias("score"))
+
+
+@query
+def q_retrieve_top_k_approx(spark, sf):
+    e = ctx(spark, sf).table("embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    r = RT.top_k_approx(q, e, K.TOP_K, "query_id", "vec_id", "embedding")
+    return r.select("query_id", "rank", "vec_id", r6("score").alias("score"))
+
+
+@query
+def q_chat_history(spark, sf):
+    return RT.chat_history(ctx(spark, sf).table("conversations")).select("conv_id", "turn", "history", "n_prev")
+
+
+def _user_questions(c: Ctx) -> DataFrame:
+    h = RT.chat_history(c.table("conversations"))
+    return (h.where(F.col("role") == "user")
+            .select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "conv_id", "turn",
+                    F.col("text").alias("question"), "history"))
+
+
+@query
+def q_assemble_prompts(spark, sf):
+    c = ctx(spark, sf)
+    qs = _user_questions(c)
+    chunks = _chunk_vectors(c)
+    hits = RT.top_k(RT.embed(qs.select("query_id", "question"), "question", keys=("query_id",)),
+                    chunks, K.TOP_K, "query_id", ("doc_id", "chunk_no"))
+    p = RT.assemble_prompts(qs, hits, chunks, "query_id")
+    return p.join(qs.select("query_id", "conv_id", "turn"), "query_id").select("conv_id", "turn", "prompt")
+
+
+@query
+def q_batch_ask(spark, sf):
+    c = ctx(spark, sf)
+    qs = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"),
+                                     F.lit("").alias("history"))
+    chunks = _chunk_vectors(c)
+    hits = RT.top_k(RT.embed(qs.select("query_id", "question"), "question", keys=("query_id",)),
+                    chunks, K.TOP_K, "query_id", ("doc_id", "chunk_no"))
+    return RT.assemble_prompts(qs, hits, chunks, "query_id").select(F.col("query_id").alias("item_id"), "prompt")
+
+
+# ------------------------------------------------- 2.7 / 2.8 features, searches
+from ..operators import features as FE  # noqa: E402
+from ..operators import selection as SEL  # noqa: E402
+
+CHI2_K = 500
+
+
+def _train_tf(c: Ctx) -> DataFrame:
+    return FE.term_counts(c.split_tokens("train"))
+
+
+@query
+def q_tfidf_top_k(spark, sf):
+    c = ctx(spark, sf)
+    idf = FE.tfidf_fit(c.split("train"), _train_tf(c), K.TFIDF_MAX_FEATURES)
+    x = FE.tfidf_transform(FE.term_counts(c.tokens), idf, bounded=True)
+    return x.select("doc_id", "term", r6("tfidf").alias("tfidf"))
+
+
+@query
+def q_tfidf_full(spark, sf):
+    c = ctx(spark, sf)
+    idf = FE.tfidf_fit(c.split("train"), _train_tf(c), None)
+    x = FE.tfidf_transform(FE.term_counts(c.tokens), idf, bounded=False)
+    return x.select("doc_id", "term", r6("tfidf").alias("tfidf"))
+
+
+@query
+def q_standard_scale(spark, sf):
+    c = ctx(spark, sf)
+    freqs = NB.token_label_freqs(c.split_tokens("train"))
+    feats = NB.token_label_features(c.sreviews.select("doc_id", "label", "split"), c.tokens, freqs)
+    z = FE.standard_scale(feats.where(F.col("split") == "train"), feats, ["tlc_pos", "tlc_neg"])
+    return z.select("doc_id", "split", r6("z_tlc_pos").alias("z_tlc_pos"), r6("z_tlc_neg").alias("z_tlc_neg"))
+
+
+@query
+def q_select_features_chi2(spark, sf):
+    c = ctx(spark, sf)
+    t = c.split_tokens("train").where(F.length("token") >= 2)
+    doc_terms = t.select("doc_id", "label", F.col("token").alias("term")).distinct()
+    top = FE.select_top(FE.chi2_scores(doc_terms, c.split("train").select("doc_id", "label")), CHI2_K)
+    return top.select("term", r6("chi2").alias("chi2"), F.col("rank").cast("int").alias("rank"))
+
+
+def _mnb_test_scores(c: Ctx, alpha: float = 1.0) -> DataFrame:
+    docs = c.sreviews.select(F.lit(0).alias("g"), "doc_id", "label",
+                             F.when(F.col("split") == "train", "fit").otherwise("val").alias("role"))
+    tf = FE.term_counts(c.tokens)
+    return SEL.mnb_scores(docs, tf, [alpha], K.TFIDF_MAX_FEATURES)
+
+
+@query
+def q_mnb_train_eval(spark, sf):
+    s = _mnb_test_scores(ctx(spark, sf))
+    return s.select("doc_id", "label", r6("score").alias("score"), "prediction")
+
+
+def _cv(c: Ctx, alphas) -> DataFrame:
+    folds = SP.stratified_folds(c.split("train").select("doc_id", "label"))
+    docs = SEL.fold_roles(folds)
+    tf = FE.term_counts(c.split_tokens("train"))
+    return SEL.cv_search(SEL.mnb_scores(docs, tf, alphas))
+
+
+@query
+def q_mnb_grid_search(spark, sf):
+    r = _cv(ctx(spark, sf), K.MNB_ALPHA_GRID)
+    return r.select(r6("alpha").alias("alpha"), r6("mean_accuracy").alias("mean_accuracy"), "best")
+
+
+@query
+def q_mnb_logspace_search(spark, sf):
+    alphas = SEL.log_spaced(K.MNB_ALPHA_LOW, K.MNB_ALPHA_HIGH, K.MNB_LOG_DRAWS)
+    r = _cv(ctx(spark, sf), alphas)
+    return r.select(r6("alpha").alias("alpha"), r6("mean_accuracy").alias("mean_accuracy"), "best")
+
+
+@query
+def q_best_candidate(spark, sf):
+    r = _cv(ctx(spark, sf), K.MNB_ALPHA_GRID)
+    b = SEL.best_candidate(r.drop("best"), "mean_accuracy", "alpha")
+    return b.select(r6("alpha").alias("alpha"), r6("mean_accuracy").alias("mean_accuracy"))
+
+
+SVM_SPACE = {"C": ("uniform", K.SVM_C_LOW, K.SVM_C_HIGH), "gamma": ("uniform", K.SVM_GAMMA_LOW, K.SVM_GAMMA_HIGH),
+             "kernel": ("choice", ["linear", "rbf"])}
+
+
+@query
+def q_candidate_table(spark, sf):
+    c = ctx(spark, sf)
+    cand = SEL.draw_candidates(spark, K.SVM_DRAWS, SVM_SPACE, K.SEARCH_SEED)
+    folds = SP.stratified_folds(c.split("train").select("doc_id", "label"))
+    sizes = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_val"))
+    n = folds.agg(F.count(F.lit(1))).scalar()
+    sizes = sizes.select("fold", (n - F.col("n_val")).cast("bigint").alias("n_fit"), F.col("n_val").cast("bigint"))
+    # candidates x folds: both sides are short parameter lists (draws, folds)
+    return (cand.join(F.broadcast(sizes), how="cross")
+            .select("candidate_id", r6("C").alias("C"), r6("gamma").alias("gamma"), "kernel", "fold", "n_fit", "n_val"))

@@ -590,3 +590,249 @@ def _():
     return with_(*LEX, ROBERTA, _board_sql()) + (
         "SELECT model, 'accuracy' AS Metric, accuracy AS Score FROM board UNION ALL "
         "SELECT model, 'f1_score', f1_score FROM board")
+
+
+# ---------------------------------------------------------------- 2.11 retrieval
+def _chunks_sql(src: str, name: str = "chunks", carry: str = "") -> str:
+    n = f"CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, ceil((length(text) - {K.CHUNK_OVERLAP}) / {K.CHUNK_SIZE - K.CHUNK_OVERLAP}))::INTEGER END"
+    stride = K.CHUNK_SIZE - K.CHUNK_OVERLAP
+    cc = f"{carry}, " if carry else ""
+    return (f"{name} AS (SELECT doc_id, {cc}chunk_no::INTEGER AS chunk_no, (chunk_no * {stride})::INTEGER AS start, "
+            f"substring(text, chunk_no * {stride} + 1, {K.CHUNK_SIZE}) AS text FROM "
+            f"(SELECT doc_id, {cc}text, unnest(range({n})) AS chunk_no FROM {src}))")
+
+
+def _embed_sql(src: str, key_cols: str, name: str = "emb", dims: int = K.EMBED_DIMS) -> list[str]:
+    """(key_cols..., embedding) for every row of src (text column 'text')."""
+    k = [x.strip() for x in key_cols.split(",")]
+    on = " AND ".join(f"e.{x} = s.{x}" for x in k)
+    ks = ", ".join(f"s.{x}" for x in k)
+    return [
+        f"{name}_w AS (SELECT {key_cols}, unnest(regexp_extract_all(lower(coalesce(text, '')), {D.lit(TX.WORD_PATTERN)})) AS w FROM {src})",
+        f"{name}_c AS (SELECT {key_cols}, ({D.hex8('w')} % {dims})::INTEGER AS b, "
+        f"sum(CASE WHEN {D.hex8(chr(39) + 's:' + chr(39) + ' || w')} % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v "
+        f"FROM {name}_w GROUP BY ALL)",
+        f"{name}_n AS (SELECT {key_cols}, sqrt(sum(v * v)) AS n FROM {name}_c GROUP BY ALL)",
+        f"{name} AS (SELECT {ks}, list(coalesce(e.v, 0.0e0) / CASE WHEN nn.n > 0 THEN nn.n ELSE 1.0e0 END ORDER BY g.b) AS embedding "
+        f"FROM {src} s CROSS JOIN (SELECT unnest(range({dims}))::INTEGER AS b) g "
+        f"LEFT JOIN {name}_c e ON {on} AND e.b = g.b "
+        f"LEFT JOIN {name}_n nn ON {on.replace('e.', 'nn.')} GROUP BY {ks})",
+    ]
+
+
+def _cos(a, b):
+    return (f"CASE WHEN list_inner_product({a}, {a}) > 0 AND list_inner_product({b}, {b}) > 0 THEN "
+            f"list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a}) * list_inner_product({b}, {b})) ELSE 0.0e0 END")
+
+
+RCHUNKS = _chunks_sql("reviews", "rchunks", "label")
+
+
+@sql("chunk_documents")
+def _():
+    return with_(_chunks_sql("documents")) + "SELECT doc_id, chunk_no, start, text FROM chunks"
+
+
+@sql("embed_chunks")
+def _():
+    return with_(REVIEWS, RCHUNKS, *_embed_sql("rchunks", "doc_id, chunk_no")) + (
+        "SELECT doc_id, chunk_no, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM emb")
+
+
+@sql("write_vector_table")
+def _():
+    return with_(REVIEWS, RCHUNKS) + (
+        f"SELECT doc_id, chunk_no, ({D.hex8('CAST(doc_id AS VARCHAR)')} % 8)::INTEGER AS bucket, "
+        f"{K.EMBED_DIMS}::BIGINT AS dims FROM rchunks")
+
+
+@sql("retrieve_top_k")
+def _():
+    e = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+    return (f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, c.vec_id, "
+            f"{_cos('q.v', 'c.v')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_cos('q.v', 'c.v')} DESC, "
+            f"c.vec_id) AS rank FROM {e} q JOIN {e} c ON q.vec_id <> c.vec_id) WHERE rank <= {K.TOP_K}")
+
+
+HISTORY = ("hist AS (SELECT conv_id, turn, role, text, coalesce(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) "
+           "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history, "
+           "(count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS n_prev "
+           "FROM conversations)")
+
+
+@sql("chat_history")
+def _():
+    return with_(HISTORY) + "SELECT conv_id, turn, history, n_prev FROM hist"
+
+
+def _prompt_sql(ctx_col, hist_col, q_col):
+    from ..operators.retrieval import PROMPT_TEMPLATE
+    head, rest = PROMPT_TEMPLATE.split("{context}")
+    mid1, rest = rest.split("{history}")
+    mid2, tail = rest.split("{question}")
+    return f"{D.lit(head)} || {ctx_col} || {D.lit(mid1)} || {hist_col} || {D.lit(mid2)} || {q_col} || {D.lit(tail)}"
+
+
+def _rag_sql(questions_cte: str, q_key: str, out_cols: str) -> str:
+    from ..operators.retrieval import CONTEXT_SEPARATOR
+    hits = (f"hits AS (SELECT * FROM (SELECT q.{q_key} AS qk, c.doc_id, c.chunk_no, c.text, row_number() OVER "
+            f"(PARTITION BY q.{q_key} ORDER BY {_cos('q.embedding', 'c.embedding')} DESC, c.doc_id, c.chunk_no) AS rank "
+            f"FROM qemb q CROSS JOIN (SELECT e.doc_id, e.chunk_no, e.embedding, r.text FROM emb e JOIN rchunks r "
+            f"ON e.doc_id = r.doc_id AND e.chunk_no = r.chunk_no) c) WHERE rank <= {K.TOP_K})")
+    ctxs = (f"ctxs AS (SELECT qk, string_agg(text, {D.lit(CONTEXT_SEPARATOR)} ORDER BY rank) AS context "
+            f"FROM hits GROUP BY qk)")
+    return with_(REVIEWS, RCHUNKS, *_embed_sql("rchunks", "doc_id, chunk_no"), HISTORY, questions_cte,
+                 *_embed_sql("qs", q_key, "qemb"), hits, ctxs) + (
+        f"SELECT {out_cols}, {_prompt_sql('coalesce(x.context, ' + chr(39) * 2 + ')', 'coalesce(qs.history, ' + chr(39) * 2 + ')', 'qs.question')} AS prompt "
+        f"FROM qs LEFT JOIN ctxs x ON qs.{q_key} = x.qk")
+
+
+@sql("assemble_prompts")
+def _():
+    qs = ("qs AS (SELECT conv_id || ':' || turn AS query_id, conv_id, turn, text AS question, text, history "
+          "FROM hist WHERE role = 'user')")
+    return _rag_sql(qs, "query_id", "qs.conv_id, qs.turn")
+
+
+@sql("batch_ask")
+def _():
+    qs = "qs AS (SELECT item_id, text AS question, text, '' AS history FROM benchmark)"
+    return _rag_sql(qs, "item_id", "qs.item_id")
+
+
+# ---------------------------------------------------------------- features
+MTF = "mtf AS (SELECT doc_id, token AS term, count(*)::DOUBLE AS tf FROM tok WHERE length(token) >= 2 GROUP BY ALL)"
+
+
+def _tfidf_sql(k):
+    vocab = ("SELECT term, count(*) AS df, sum(tf) AS cf FROM mtf t JOIN sreviews r ON t.doc_id = r.doc_id "
+             "WHERE r.split = 'train' GROUP BY term")
+    if k:
+        vocab = f"SELECT * FROM ({vocab}) ORDER BY cf DESC, term LIMIT {k}"
+    return with_(*TOKBASE, MTF, f"voc AS ({vocab})",
+                 "idf AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM voc, "
+                 "(SELECT count(*) AS n FROM sreviews WHERE split = 'train') nn)") + (
+        "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM "
+        "(SELECT t.doc_id, t.term, t.tf * i.idf AS w FROM mtf t JOIN idf i ON t.term = i.term)")
+
+
+@sql("tfidf_top_k")
+def _():
+    return _tfidf_sql(K.TFIDF_MAX_FEATURES)
+
+
+@sql("tfidf_full")
+def _():
+    return _tfidf_sql(None)
+
+
+@sql("standard_scale")
+def _():
+    feats = ("feats AS (SELECT r.doc_id, r.split, coalesce(s.p, 0)::DOUBLE AS tlc_pos, coalesce(s.n, 0)::DOUBLE AS tlc_neg "
+             "FROM sreviews r LEFT JOIN (SELECT t.doc_id, sum(f.n_pos) AS p, sum(f.n_neg) AS n FROM tok t JOIN freqs f "
+             "ON t.token = f.token GROUP BY t.doc_id) s ON r.doc_id = s.doc_id)")
+    st = ("st AS (SELECT avg(tlc_pos) AS mp, stddev_pop(tlc_pos) AS sp, avg(tlc_neg) AS mn, stddev_pop(tlc_neg) AS sn "
+          "FROM feats WHERE split = 'train')")
+    return with_(*TOKBASE, NB_FREQS, feats, st) + (
+        "SELECT doc_id, split, round(CASE WHEN sp > 0 THEN (tlc_pos - mp) / sp ELSE 0.0e0 END, 6) AS z_tlc_pos, "
+        "round(CASE WHEN sn > 0 THEN (tlc_neg - mn) / sn ELSE 0.0e0 END, 6) AS z_tlc_neg FROM feats, st")
+
+
+@sql("select_features_chi2")
+def _():
+    dt = ("dt AS (SELECT DISTINCT doc_id, label, token AS term FROM tok WHERE split = 'train' AND length(token) >= 2)")
+    tot = "tot AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE label = 1)::DOUBLE AS n1 FROM sreviews WHERE split = 'train')"
+    per = ("per AS (SELECT term, count(*) FILTER (WHERE label = 1)::DOUBLE AS a, count(*) FILTER (WHERE label = 0)::DOUBLE AS b "
+           "FROM dt GROUP BY term)")
+    chi = ("chi AS (SELECT term, round(CASE WHEN (a + b) * ((n1 - a) + (n - n1 - b)) * (a + (n1 - a)) * (b + (n - n1 - b)) > 0 "
+           "THEN n * (a * (n - n1 - b) - b * (n1 - a)) * (a * (n - n1 - b) - b * (n1 - a)) / "
+           "((a + b) * ((n1 - a) + (n - n1 - b)) * (a + (n1 - a)) * (b + (n - n1 - b))) ELSE 0.0e0 END, 9) AS chi2 FROM per, tot)")
+    return with_(*TOKBASE, dt, tot, per, chi) + (
+        f"SELECT term, round(chi2, 6) AS chi2, rank::INTEGER AS rank FROM (SELECT term, chi2, row_number() OVER "
+        f"(ORDER BY chi2 DESC, term) AS rank FROM chi) WHERE rank <= 500")
+
+
+def _mnb_sql(docs_cte: str, alphas, k) -> list[str]:
+    alist = "[" + ", ".join(repr(float(a)) + "::DOUBLE" for a in alphas) + "]"
+    stats = "mstats AS (SELECT g, term, count(*) AS df, sum(tf) AS cf FROM mrows WHERE role = 'fit' GROUP BY g, term)"
+    if k:
+        vocab = (f"mvocab AS (SELECT g, term, df, cf FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cf DESC, term) AS r "
+                 f"FROM mstats) WHERE r <= {k})")
+    else:
+        vocab = "mvocab AS (SELECT g, term, df, cf FROM mstats)"
+    return [
+        docs_cte, MTF,
+        "mrows AS (SELECT d.g, d.doc_id, d.label, d.role, t.term, t.tf FROM mdocs d JOIN mtf t ON d.doc_id = t.doc_id)",
+        "nfit AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE label = 1) AS d1, count(*) FILTER (WHERE label = 0) AS d0 "
+        "FROM mdocs WHERE role = 'fit' GROUP BY g)",
+        stats, vocab,
+        "midf AS (SELECT s.g, s.term, ln((n.n + 1) / (s.df + 1)) + 1 AS idf FROM mvocab s JOIN nfit n ON s.g = n.g)",
+        "mw AS (SELECT r.g, r.doc_id, r.label, r.role, r.term, r.tf * i.idf AS w FROM mrows r JOIN midf i ON r.g = i.g AND r.term = i.term)",
+        "mx AS (SELECT g, doc_id, label, role, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, doc_id)) AS x FROM mw)",
+        "mfc AS (SELECT g, term, sum(CASE WHEN label = 1 THEN x ELSE 0.0e0 END) AS fc1, sum(CASE WHEN label = 0 THEN x ELSE 0.0e0 END) AS fc0 "
+        "FROM mx WHERE role = 'fit' GROUP BY g, term)",
+        "mtot AS (SELECT g, sum(fc1) AS t1, sum(fc0) AS t0, count(*) AS v FROM mfc GROUP BY g)",
+        f"malpha AS (SELECT unnest({alist}) AS alpha)",
+        "mdelta AS (SELECT f.g, f.term, a.alpha, ln((f.fc1 + a.alpha) / (t.t1 + a.alpha * t.v)) - ln((f.fc0 + a.alpha) / (t.t0 + a.alpha * t.v)) AS delta "
+        "FROM mfc f JOIN mtot t ON f.g = t.g CROSS JOIN malpha a)",
+        "msum AS (SELECT x.g, d.alpha, x.doc_id, sum(x.x * d.delta) AS s FROM mx x JOIN mdelta d ON x.g = d.g AND x.term = d.term "
+        "WHERE x.role = 'val' GROUP BY ALL)",
+        "mscores AS (SELECT d.g, a.alpha, d.doc_id, d.label, ln(n.d1) - ln(n.d0) + coalesce(s.s, 0.0e0) AS score FROM mdocs d "
+        "JOIN nfit n ON d.g = n.g CROSS JOIN malpha a LEFT JOIN msum s ON s.g = d.g AND s.alpha = a.alpha AND s.doc_id = d.doc_id "
+        "WHERE d.role = 'val')",
+    ]
+
+
+FOLDS = (f"folds AS (SELECT doc_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {D.hex8(chr(39) + 'fold' + str(K.SHUFFLE_SEED) + ':' + chr(39) + ' || CAST(doc_id AS VARCHAR)')}, doc_id) - 1) "
+         f"% {K.N_FOLDS})::INTEGER AS fold FROM sreviews WHERE split = 'train')")
+CV_DOCS = ("mdocs AS (SELECT g.g, f.doc_id, f.label, CASE WHEN g.g = f.fold THEN 'val' ELSE 'fit' END AS role FROM folds f "
+           f"CROSS JOIN (SELECT unnest(range({K.N_FOLDS}))::INTEGER AS g) g)")
+
+
+@sql("mnb_train_eval")
+def _():
+    docs = "mdocs AS (SELECT 0 AS g, doc_id, label, CASE WHEN split = 'train' THEN 'fit' ELSE 'val' END AS role FROM sreviews)"
+    return with_(*TOKBASE, *_mnb_sql(docs, [1.0], K.TFIDF_MAX_FEATURES)) + (
+        "SELECT doc_id, label, round(score, 6) AS score, CAST(score > 0 AS INTEGER) AS prediction FROM mscores")
+
+
+def _cv_sql(alphas):
+    return with_(*TOKBASE, FOLDS, *_mnb_sql(CV_DOCS, alphas, None),
+                 "macc AS (SELECT g, alpha, avg(CAST(label = CAST(score > 0 AS INTEGER) AS DOUBLE)) AS acc FROM mscores GROUP BY g, alpha)",
+                 "mmean AS (SELECT alpha, round(avg(acc), 9) AS mean_accuracy FROM macc GROUP BY alpha)")
+
+
+@sql("mnb_grid_search")
+def _():
+    return _cv_sql(K.MNB_ALPHA_GRID) + (
+        "SELECT round(alpha, 6) AS alpha, round(mean_accuracy, 6) AS mean_accuracy, "
+        "CAST(row_number() OVER (ORDER BY mean_accuracy DESC, alpha) = 1 AS INTEGER) AS best FROM mmean")
+
+
+@sql("mnb_logspace_search")
+def _():
+    from ..operators.selection import log_spaced
+    return _cv_sql(log_spaced(K.MNB_ALPHA_LOW, K.MNB_ALPHA_HIGH, K.MNB_LOG_DRAWS)) + (
+        "SELECT round(alpha, 6) AS alpha, round(mean_accuracy, 6) AS mean_accuracy, "
+        "CAST(row_number() OVER (ORDER BY mean_accuracy DESC, alpha) = 1 AS INTEGER) AS best FROM mmean")
+
+
+@sql("best_candidate")
+def _():
+    return _cv_sql(K.MNB_ALPHA_GRID) + (
+        "SELECT round(alpha, 6) AS alpha, round(mean_accuracy, 6) AS mean_accuracy FROM mmean "
+        "ORDER BY mean_accuracy DESC, alpha LIMIT 1")
+
+
+@sql("candidate_table")
+def _():
+    def u(p):
+        return keyed_unit(D, K.SEARCH_SEED, f"concat(CAST(candidate_id AS VARCHAR), ':{p}')")
+    cand = (f"cand AS (SELECT candidate_id, {K.SVM_C_LOW} + {u('C')} * ({K.SVM_C_HIGH} - {K.SVM_C_LOW}) AS C, "
+            f"{K.SVM_GAMMA_LOW} + {u('gamma')} * ({K.SVM_GAMMA_HIGH} - {K.SVM_GAMMA_LOW}) AS gamma, "
+            f"(['linear', 'rbf'])[CAST(floor({u('kernel')} * 2) AS INTEGER) + 1] AS kernel "
+            f"FROM (SELECT unnest(range({K.SVM_DRAWS}))::BIGINT AS candidate_id))")
+    sizes = ("sizes AS (SELECT fold, ((SELECT count(*) FROM folds) - count(*))::BIGINT AS n_fit, count(*)::BIGINT AS n_val "
+             "FROM folds GROUP BY fold)")
+    return with_(REVIEWS, SREVIEWS, FOLDS, cand, sizes) + (
+        "SELECT candidate_id, round(C, 6) AS C, round(gamma, 6) AS gamma, kernel, fold, n_fit, n_val FROM cand CROSS JOIN sizes")
