@@ -712,3 +712,115 @@ def q_candidate_table(spark, sf):
     # candidates x folds: both sides are short parameter lists (draws, folds)
     return (cand.join(F.broadcast(sizes), how="cross")
             .select("candidate_id", r6("C").alias("C"), r6("gamma").alias("gamma"), "kernel", "fold", "n_fit", "n_val"))
+
+
+# ------------------------------------------------ 2.8 iterative models (rows-only)
+from ..operators import classifiers as CL  # noqa: E402
+from ..streaming import jobs as ST  # noqa: E402
+
+# registered searches use short candidate lists and 3 folds; the functions'
+# defaults carry the full spaces
+QUERY_TERMS = 500
+QUERY_FOLDS = 3
+
+
+def _ml_data(c: Ctx, terms: int = QUERY_TERMS):
+    """(doc_id, label, split, fold, features) with a top-k TF-IDF vocabulary fit on train."""
+    idf = FE.tfidf_fit(c.split("train"), _train_tf(c), terms)
+    vec = CL.tfidf_vectors(c.corpus, idf)
+    folds = SP.stratified_folds(c.split("train").select("doc_id", "label"), QUERY_FOLDS).select("doc_id", "fold")
+    return vec.join(folds, "doc_id", "left")
+
+
+def _tlc(c: Ctx) -> DataFrame:
+    freqs = NB.token_label_freqs(c.split_tokens("train"))
+    return NB.token_label_features(c.sreviews.select("doc_id", "label", "split"), c.tokens, freqs)
+
+
+@query
+def q_lr_train_eval(spark, sf):
+    c = ctx(spark, sf)
+    f = _tlc(c)
+    return CL.lr_train_eval(f.where(F.col("split") == "train"), f.where(F.col("split") == "test"))
+
+
+@query
+def q_lr_grid_search(spark, sf):
+    c = ctx(spark, sf)
+    f = _tlc(c).where(F.col("split") == "train")
+    folds = SP.stratified_folds(c.split("train").select("doc_id", "label"), QUERY_FOLDS).select("doc_id", "fold")
+    return CL.lr_grid_search(f.join(folds, "doc_id"), Cs=[K.LR_C_GRID[2], K.LR_C_GRID[5], K.LR_C_GRID[8]])
+
+
+def _draws(spark, n, space, seed=K.SEARCH_SEED):
+    return SEL.draw_candidates(spark, n, space, seed)
+
+
+@query
+def q_svm_linear_search(spark, sf):
+    c = ctx(spark, sf)
+    d = _ml_data(c).where(F.col("split") == "train")
+    cand = _draws(spark, 3, SVM_SPACE).orderBy("candidate_id").collect()
+    return CL.svm_linear_search(d, [r["C"] for r in cand])
+
+
+@query
+def q_svm_rbf_approx(spark, sf):
+    c = ctx(spark, sf)
+    d = _ml_data(c).where(F.col("split") == "train")
+    cand = _draws(spark, 2, SVM_SPACE).orderBy("candidate_id").collect()
+    return CL.svm_rbf_approx(d, [(r["candidate_id"], r["C"], r["gamma"]) for r in cand])
+
+
+RF_SPACE = {"n_estimators": ("choice", K.RF_TREES[:2]), "max_depth": ("choice", K.RF_DEPTHS),
+            "min_samples_split": ("choice", K.RF_MIN_SPLIT), "criterion": ("choice", K.RF_CRITERIA)}
+GBT_SPACE = {"n_estimators": ("int", 10, 20), "max_depth": ("int", *K.GBT_DEPTH),
+             "learning_rate": ("uniform", *K.GBT_RATE), "subsample": ("uniform", *K.GBT_SUBSAMPLE),
+             "colsample_bytree": ("uniform", *K.GBT_COLSAMPLE), "min_child_weight": ("int", *K.GBT_CHILD_WEIGHT),
+             "gamma": ("uniform", *K.GBT_GAMMA)}
+
+
+@query
+def q_rf_random_search(spark, sf):
+    c = ctx(spark, sf)
+    d = _ml_data(c).where(F.col("split") == "train")
+    return CL.rf_random_search(d, _draws(spark, 2, RF_SPACE))
+
+
+@query
+def q_gbt_random_search(spark, sf):
+    c = ctx(spark, sf)
+    d = _ml_data(c).where(F.col("split") == "train")
+    return CL.gbt_random_search(d, _draws(spark, 2, GBT_SPACE))
+
+
+@query
+def q_search_holdout(spark, sf):
+    c = ctx(spark, sf)
+    d = _ml_data(c).where(F.col("split") == "train").drop("fold").cache()
+    hold = SP.stratified_holdout(c.split("train").select("doc_id", "label"), seeds=range(2))
+    space = {"C": ("loguniform", *K.HOLDOUT_SVM_C), "gamma": ("loguniform", *K.HOLDOUT_SVM_GAMMA)}
+    cand = [(r["candidate_id"], (r["C"], r["gamma"])) for r in _draws(spark, 2, space).orderBy("candidate_id").collect()]
+    n = d.count()
+
+    def make(params):
+        C, gamma = params
+        est = CL.LinearSVC(labelCol="label", featuresCol="features", maxIter=50, regParam=1.0 / (C * n))
+        return est, (lambda df: CL.random_fourier(df, gamma, 128).drop("features").withColumnRenamed("rff", "features"))
+    return CL.holdout_search(d, hold, cand, make)
+
+
+# ------------------------------------------------------------- 2.13 streaming
+@query
+def q_stream_score(spark, sf):
+    c = ctx(spark, sf)
+    out = ST.stream_score(spark, c.split("test").select("doc_id", "label", "text"), _nb_model(c))
+    return out.select("doc_id", "label", r6("score").alias("score"), "prediction")
+
+
+@query
+def q_stream_retrieve(spark, sf):
+    c = ctx(spark, sf)
+    qs = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    out = ST.stream_retrieve(spark, qs, _chunk_vectors(c), K.TOP_K)
+    return out.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "chunk_no", r6("score").alias("score"))

@@ -337,7 +337,7 @@ def _():
 @sql("lookup_default_join")
 def _():
     return with_(*TOKBASE, NB_FREQS, NB_MODEL) + (
-        "SELECT t.doc_id, t.pos, t.token, round(coalesce(m.loglikelihood, 0.0e0), 6) AS weight "
+        "SELECT t.doc_id, t.pos::INTEGER AS pos, t.token, round(coalesce(m.loglikelihood, 0.0e0), 6) AS weight "
         "FROM tok t LEFT JOIN model m ON t.token = m.token WHERE t.split = 'test'")
 
 
@@ -471,7 +471,7 @@ def _():
          f"* pow({K.NEGATION_SCALAR}, negc) * CASE WHEN fb IS NULL THEN 1.0e0 WHEN pos < fb THEN {K.BUT_BEFORE} "
          f"WHEN pos > fb THEN {K.BUT_AFTER} ELSE 1.0e0 END")
     return with_(*TOKBASE, NB_FREQS, NB_MODEL, LEXICON, rawctx, rstem, ctxv) + (
-        f"SELECT doc_id, pos, word, round({v}, 6) AS valence FROM ctxv WHERE round({v}, 6) <> 0")
+        f"SELECT doc_id, pos::INTEGER AS pos, word, round({v}, 6) AS valence FROM ctxv WHERE round({v}, 6) <> 0")
 
 
 @sql("prefix_columns")
@@ -649,7 +649,7 @@ def _():
 @sql("retrieve_top_k")
 def _():
     e = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-    return (f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, c.vec_id, "
+    return (f"SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, c.vec_id, "
             f"{_cos('q.v', 'c.v')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_cos('q.v', 'c.v')} DESC, "
             f"c.vec_id) AS rank FROM {e} q JOIN {e} c ON q.vec_id <> c.vec_id) WHERE rank <= {K.TOP_K}")
 
@@ -836,3 +836,17 @@ def _():
              "FROM folds GROUP BY fold)")
     return with_(REVIEWS, SREVIEWS, FOLDS, cand, sizes) + (
         "SELECT candidate_id, round(C, 6) AS C, round(gamma, 6) AS gamma, kernel, fold, n_fit, n_val FROM cand CROSS JOIN sizes")
+
+
+# ---------------------------------------------------------------- 2.13 streaming
+ORACLE["stream_score"] = ORACLE["nb_predict"]
+
+
+@sql("stream_retrieve")
+def _():
+    qs = "qs AS (SELECT item_id, text AS question, text, '' AS history FROM benchmark)"
+    hits = (f"hits AS (SELECT * FROM (SELECT q.item_id, c.doc_id, c.chunk_no, {_cos('q.embedding', 'c.embedding')} AS score, "
+            f"row_number() OVER (PARTITION BY q.item_id ORDER BY {_cos('q.embedding', 'c.embedding')} DESC, c.doc_id, c.chunk_no) AS rank "
+            f"FROM qemb q CROSS JOIN emb c) WHERE rank <= {K.TOP_K})")
+    return with_(REVIEWS, RCHUNKS, *_embed_sql("rchunks", "doc_id, chunk_no"), qs, *_embed_sql("qs", "item_id", "qemb"),
+                 hits) + "SELECT item_id, rank::INTEGER AS rank, doc_id, chunk_no, round(score, 6) AS score FROM hits"
