@@ -722,6 +722,7 @@ from ..streaming import jobs as ST  # noqa: E402
 # defaults carry the full spaces
 QUERY_TERMS = 500
 QUERY_FOLDS = 3
+QUERY_MAX_ITER = 25
 
 
 def _ml_data(c: Ctx, terms: int = QUERY_TERMS):
@@ -729,12 +730,13 @@ def _ml_data(c: Ctx, terms: int = QUERY_TERMS):
     idf = FE.tfidf_fit(c.split("train"), _train_tf(c), terms)
     vec = CL.tfidf_vectors(c.corpus, idf)
     folds = SP.stratified_folds(c.split("train").select("doc_id", "label"), QUERY_FOLDS).select("doc_id", "fold")
-    return vec.join(folds, "doc_id", "left")
+    # iterative fits scan the features many times: write them once (reliable checkpoint)
+    return vec.join(folds, "doc_id", "left").select("doc_id", "label", "split", "fold", "features").checkpoint()
 
 
 def _tlc(c: Ctx) -> DataFrame:
     freqs = NB.token_label_freqs(c.split_tokens("train"))
-    return NB.token_label_features(c.sreviews.select("doc_id", "label", "split"), c.tokens, freqs)
+    return NB.token_label_features(c.sreviews.select("doc_id", "label", "split"), c.tokens, freqs).checkpoint()
 
 
 @query
@@ -749,7 +751,7 @@ def q_lr_grid_search(spark, sf):
     c = ctx(spark, sf)
     f = _tlc(c).where(F.col("split") == "train")
     folds = SP.stratified_folds(c.split("train").select("doc_id", "label"), QUERY_FOLDS).select("doc_id", "fold")
-    return CL.lr_grid_search(f.join(folds, "doc_id"), Cs=[K.LR_C_GRID[2], K.LR_C_GRID[5], K.LR_C_GRID[8]])
+    return CL.lr_grid_search(f.join(folds, "doc_id").checkpoint(), Cs=[K.LR_C_GRID[2], K.LR_C_GRID[5], K.LR_C_GRID[8]], max_iter=QUERY_MAX_ITER)
 
 
 def _draws(spark, n, space, seed=K.SEARCH_SEED):
@@ -761,7 +763,7 @@ def q_svm_linear_search(spark, sf):
     c = ctx(spark, sf)
     d = _ml_data(c).where(F.col("split") == "train")
     cand = _draws(spark, 3, SVM_SPACE).orderBy("candidate_id").collect()
-    return CL.svm_linear_search(d, [r["C"] for r in cand])
+    return CL.svm_linear_search(d, [r["C"] for r in cand], max_iter=QUERY_MAX_ITER)
 
 
 @query
@@ -769,7 +771,7 @@ def q_svm_rbf_approx(spark, sf):
     c = ctx(spark, sf)
     d = _ml_data(c).where(F.col("split") == "train")
     cand = _draws(spark, 2, SVM_SPACE).orderBy("candidate_id").collect()
-    return CL.svm_rbf_approx(d, [(r["candidate_id"], r["C"], r["gamma"]) for r in cand])
+    return CL.svm_rbf_approx(d, [(r["candidate_id"], r["C"], r["gamma"]) for r in cand], max_iter=QUERY_MAX_ITER)
 
 
 RF_SPACE = {"n_estimators": ("choice", K.RF_TREES[:2]), "max_depth": ("choice", K.RF_DEPTHS),
@@ -797,7 +799,7 @@ def q_gbt_random_search(spark, sf):
 @query
 def q_search_holdout(spark, sf):
     c = ctx(spark, sf)
-    d = _ml_data(c).where(F.col("split") == "train").drop("fold").cache()
+    d = _ml_data(c).where(F.col("split") == "train").drop("fold")
     hold = SP.stratified_holdout(c.split("train").select("doc_id", "label"), seeds=range(2))
     space = {"C": ("loguniform", *K.HOLDOUT_SVM_C), "gamma": ("loguniform", *K.HOLDOUT_SVM_GAMMA)}
     cand = [(r["candidate_id"], (r["C"], r["gamma"])) for r in _draws(spark, 2, space).orderBy("candidate_id").collect()]
@@ -805,7 +807,7 @@ def q_search_holdout(spark, sf):
 
     def make(params):
         C, gamma = params
-        est = CL.LinearSVC(labelCol="label", featuresCol="features", maxIter=50, regParam=1.0 / (C * n))
+        est = CL.LinearSVC(labelCol="label", featuresCol="features", maxIter=QUERY_MAX_ITER, regParam=1.0 / (C * n))
         return est, (lambda df: CL.random_fourier(df, gamma, 128).drop("features").withColumnRenamed("rff", "features"))
     return CL.holdout_search(d, hold, cand, make)
 
