@@ -67,8 +67,14 @@ def stem(df: DataFrame, col: str = "token", out: str = "token") -> DataFrame:
 
 
 def stem_vocabulary(long: DataFrame, col: str = "token") -> DataFrame:
-    """Distinct words and their stems (stemmed once per distinct word)."""
-    voc = long.select(F.col(col).alias("word")).distinct()
+    """Distinct words and their stems (stemmed once per distinct word).
+
+    The distinct vocabulary is small in bytes, so adaptive execution would
+    coalesce it into one or two partitions; an explicit round-robin spread
+    keeps the CPU-heavy stemming on every core.
+    """
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    voc = long.select(F.col(col).alias("word")).distinct().repartition(parts)
     return stem(voc, "word", "stem")
 
 
@@ -77,9 +83,30 @@ def kept_tokens(df: DataFrame, text_col: str = "text", keep=("doc_id",)) -> Data
     return df.select(*keep, F.posexplode(F.expr(TX.kept_tokens_sql(SPARK, text_col))).alias("pos", "raw"))
 
 
-def corpus_tokens(df: DataFrame, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Long form (keep..., pos, token) of the fully preprocessed corpus."""
-    return stem(kept_tokens(df, text_col, keep), "raw", "token").drop("raw")
+BROADCAST_WORDS = 2_000_000     # stem tables up to this many words are broadcast
+
+
+def corpus_tokens(df: DataFrame, text_col: str = "text", keep=("doc_id",),
+                  broadcast_words: int | None = BROADCAST_WORDS) -> DataFrame:
+    """Long form (keep..., pos, token) of the fully preprocessed corpus.
+
+    Each distinct word is stemmed once (the vocabulary is an order of
+    magnitude smaller than the token stream) and joined back on the word.
+    The stem table is written once (reliable checkpoint) and counted: up to
+    ``broadcast_words`` words it is broadcast, so token rows never move and
+    keep the document partitioning; beyond that the join is a shuffle join
+    whose hot words are split by AQE's skew handling.
+    """
+    raw = kept_tokens(df, text_col, keep)
+    stems = stem_vocabulary(raw, "raw")
+    if broadcast_words is not None:
+        from ..session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        stems = stems.checkpoint(eager=True)
+        if stems.count() <= broadcast_words:
+            stems = F.broadcast(stems)
+    return (raw.join(stems, raw["raw"] == stems["word"])
+            .select(*keep, "pos", F.col("stem").alias("token")))
 
 
 def preprocess_corpus(df: DataFrame, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
@@ -97,7 +124,9 @@ def assemble_corpus(df: DataFrame, long: DataFrame, keep=("doc_id",)) -> DataFra
               .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("__pt"))
               .select(*keep, F.col("__pt.token").alias("tokens")))
     base = df.select(*keep)
-    out = base.join(arrays, list(keep), "left")
+    # join on the document key alone: the other keys depend on it, and a
+    # join on the partitioning key reuses the existing hash partitioning
+    out = base.join(arrays.drop(*keep[1:]), keep[0], "left")
     toks = F.coalesce(F.col("tokens"), F.array().cast("array<string>"))
     return out.select(*keep, toks.alias("tokens"),
                       F.array_join(toks, " ").alias("processed_text"),
