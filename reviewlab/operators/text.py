@@ -118,15 +118,18 @@ def preprocess_corpus(df: DataFrame, text_col: str = "text", keep=("doc_id",)) -
 
 
 def assemble_corpus(df: DataFrame, long: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """Rebuild ordered token arrays from the long form (no exchange when
-    both inputs are hash-partitioned by the document key)."""
-    arrays = (long.groupBy(*keep)
+    """Rebuild ordered token arrays from the long form.
+
+    Grouping and the join back use the document key alone (the other keys
+    depend on it), so the long side is exchanged once, by that key, and the
+    join reuses that partitioning.
+    """
+    key = keep[0]
+    arrays = (long.groupBy(key)
               .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("__pt"))
-              .select(*keep, F.col("__pt.token").alias("tokens")))
+              .select(key, F.col("__pt.token").alias("tokens")))
     base = df.select(*keep)
-    # join on the document key alone: the other keys depend on it, and a
-    # join on the partitioning key reuses the existing hash partitioning
-    out = base.join(arrays.drop(*keep[1:]), keep[0], "left")
+    out = base.join(arrays, key, "left")
     toks = F.coalesce(F.col("tokens"), F.array().cast("array<string>"))
     return out.select(*keep, toks.alias("tokens"),
                       F.array_join(toks, " ").alias("processed_text"),

@@ -520,7 +520,9 @@ def _chunks(c: Ctx) -> DataFrame:
 
 
 def _chunk_vectors(c: Ctx) -> DataFrame:
-    return RT.embed(_chunks(c), "text", "embedding")
+    """Chunk vectors, persisted: top-k counts, scores and joins them back."""
+    from pyspark import StorageLevel
+    return RT.embed(_chunks(c), "text", "embedding").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _round_vec(col):
@@ -584,10 +586,12 @@ def q_chat_history(spark, sf):
 
 
 def _user_questions(c: Ctx) -> DataFrame:
+    from pyspark import StorageLevel
     h = RT.chat_history(c.table("conversations"))
     return (h.where(F.col("role") == "user")
             .select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "conv_id", "turn",
-                    F.col("text").alias("question"), "history"))
+                    F.col("text").alias("question"), "history")
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 @query
