@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def safe_log(x):
+    """Natural log with ln(0) = -inf (Spark's log returns null there)."""
+    x = x.cast("double")
+    return F.when(x > 0, F.log(x)).otherwise(F.lit(float("-inf")))
+
+
 def token_label_freqs(tokens: DataFrame, label_col: str = "label", token_col: str = "token") -> DataFrame:
     """(token, n_pos, n_neg): occurrences of each token in positive / negative documents."""
     y = F.col(label_col)
@@ -57,7 +63,7 @@ def nb_train(train_docs: DataFrame, train_tokens: DataFrame, label_col: str = "l
     V = tot.getField("V")
     ll = (F.log((F.col("n_pos") + 1) / (tot.getField("N_pos") + V))
           - F.log((F.col("n_neg") + 1) / (tot.getField("N_neg") + V)))
-    prior = F.log(docs.getField("D_pos").cast("double")) - F.log(docs.getField("D_neg").cast("double"))
+    prior = safe_log(docs.getField("D_pos")) - safe_log(docs.getField("D_neg"))
     return freqs.select("token", "n_pos", "n_neg", ll.alias("loglikelihood"), prior.alias("logprior"))
 
 
