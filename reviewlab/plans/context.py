@@ -46,17 +46,14 @@ class Ctx:
     def tokens(self) -> DataFrame:
         """Long form (doc_id, label, split, pos, token) of the preprocessed reviews.
 
-        Persisted (memory, spilling to disk) and reused by every consumer in
-        the query, including the scalar subqueries of the model totals.  The
-        cached plan keeps its hash partitioning by doc_id, so per-document
-        aggregates over it need no exchange.  Its lineage is short (parquet
-        scan, expressions, a broadcast join with the written stem table), so
-        partitions lost with an executor are recomputed from it.
+        Written once, eagerly, to the checkpoint folder (reliable, survives
+        executor loss) before any consumer runs, so the main plan and its
+        scalar subqueries all read the same written rows instead of racing
+        to compute them.
         """
-        from pyspark import StorageLevel
         checkpoint_root(self.spark)
         long = TXT.corpus_tokens(self.sreviews, "text", keep=("doc_id", "label", "split"))
-        return long.persist(StorageLevel.MEMORY_AND_DISK)
+        return long.checkpoint(eager=True)
 
     def split_tokens(self, name: str) -> DataFrame:
         return self.tokens.where(F.col("split") == name)
