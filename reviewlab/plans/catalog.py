@@ -710,12 +710,13 @@ def q_candidate_table(spark, sf):
     c = ctx(spark, sf)
     cand = SEL.draw_candidates(spark, K.SVM_DRAWS, SVM_SPACE, K.SEARCH_SEED)
     folds = SP.stratified_folds(c.split("train").select("doc_id", "label"))
-    sizes = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_val"))
     n = folds.agg(F.count(F.lit(1))).scalar()
-    sizes = sizes.select("fold", (n - F.col("n_val")).cast("bigint").alias("n_fit"), F.col("n_val").cast("bigint"))
-    # candidates x folds: both sides are short parameter lists (draws, folds)
-    return (cand.join(F.broadcast(sizes), how="cross")
-            .select("candidate_id", r6("C").alias("C"), r6("gamma").alias("gamma"), "kernel", "fold", "n_fit", "n_val"))
+    # the fold sizes (one entry per fold) arrive as one array value
+    sizes = (folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_val"))
+             .agg(F.sort_array(F.collect_list(F.struct("fold", "n_val")))).scalar())
+    return (cand.withColumn("f", F.explode(sizes))
+            .select("candidate_id", r6("C").alias("C"), r6("gamma").alias("gamma"), "kernel", F.col("f.fold").alias("fold"),
+                    (n - F.col("f.n_val")).cast("bigint").alias("n_fit"), F.col("f.n_val").cast("bigint").alias("n_val")))
 
 
 # ------------------------------------------------ 2.8 iterative models (rows-only)
