@@ -599,7 +599,7 @@ def q_assemble_prompts(spark, sf):
     c = ctx(spark, sf)
     qs = _user_questions(c)
     chunks = _chunk_vectors(c)
-    hits = RT.top_k(RT.embed(qs.select("query_id", "question"), "question", keys=("query_id",)),
+    hits = RT.top_k(RT.embed(qs.select("query_id", "question"), "question"),
                     chunks, K.TOP_K, "query_id", ("doc_id", "chunk_no"))
     p = RT.assemble_prompts(qs, hits, chunks, "query_id")
     return p.join(qs.select("query_id", "conv_id", "turn"), "query_id").select("conv_id", "turn", "prompt")
@@ -611,7 +611,7 @@ def q_batch_ask(spark, sf):
     qs = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"),
                                      F.lit("").alias("history"))
     chunks = _chunk_vectors(c)
-    hits = RT.top_k(RT.embed(qs.select("query_id", "question"), "question", keys=("query_id",)),
+    hits = RT.top_k(RT.embed(qs.select("query_id", "question"), "question"),
                     chunks, K.TOP_K, "query_id", ("doc_id", "chunk_no"))
     return RT.assemble_prompts(qs, hits, chunks, "query_id").select(F.col("query_id").alias("item_id"), "prompt")
 

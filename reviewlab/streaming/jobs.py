@@ -70,7 +70,7 @@ def stream_retrieve(spark: SparkSession, questions: DataFrame, chunk_vectors: Da
               .option("maxFilesPerTrigger", files_per_batch).parquet(src))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        qv = RT.embed(batch, "question", keys=("query_id",))
+        qv = RT.embed(batch, "question")
         hits = RT.top_k(qv, vectors, k, "query_id", ("doc_id", "chunk_no"))
         hits.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
