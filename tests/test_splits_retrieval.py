@@ -63,3 +63,22 @@ def test_blocked_top_k_equals_brute_force(spark):
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         have.setdefault(r["query_id"], []).append(r["vec_id"])
     assert have == want
+
+
+def test_assign_row_id_dense_in_key_order(spark):
+    df = spark.range(0, 5000, 3).select(F.col("id").alias("doc_id"))
+    rows = sorted(S.assign_row_id(df, "doc_id", "row_id").collect(), key=lambda r: r["doc_id"])
+    assert [r["row_id"] for r in rows] == list(range(len(rows)))
+
+
+def test_recursive_chunks_bounded_and_cover_words(spark):
+    docs = S.load(spark, SF, "documents").select("doc_id", "text")
+    ch = RT.chunk_documents_recursive(docs).collect()
+    assert all(len(r["text"]) <= 1000 for r in ch)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    words = {}
+    for r in ch:
+        words.setdefault(r["doc_id"], set()).update(r["text"].split())
+    for d, t in texts.items():
+        if t and t.strip():
+            assert set(t.split()) <= words[d]
