@@ -30,17 +30,20 @@ def land_files(df: DataFrame, path: str, files: int = 4) -> None:
     df.repartition(files).write.mode("overwrite").parquet(path)
 
 
-def stream_score(spark: SparkSession, reviews: DataFrame, model: DataFrame, files_per_batch: int = 1,
-                 workdir: str | None = None) -> DataFrame:
+def stream_score(spark: SparkSession, reviews: DataFrame | None, model: DataFrame, files_per_batch: int = 1,
+                 workdir: str | None = None, source_path: str | None = None) -> DataFrame:
     """Score arriving reviews with a trained Naive Bayes table.
 
-    reviews: (doc_id, label, text) landed as files; model: (token,
-    loglikelihood, logprior).  Returns the sink: (doc_id, label, score,
-    prediction), equal to the batch ``nb_predict`` of the same rows.
+    The stream reads parquet files (doc_id, label, text) from
+    ``source_path``; when none is given, ``reviews`` is landed as files
+    first.  model: (token, loglikelihood, logprior).  Returns the sink:
+    (doc_id, label, score, prediction), equal to the batch ``nb_predict``
+    of the same rows.
     """
     workdir = workdir or scratch_path(spark, "stream_score")
-    src, sink, weights_path = f"{workdir}/in", f"{workdir}/out", f"{workdir}/weights"
-    land_files(reviews.select("doc_id", "label", "text"), src)
+    src, sink, weights_path = source_path or f"{workdir}/in", f"{workdir}/out", f"{workdir}/weights"
+    if source_path is None:
+        land_files(reviews.select("doc_id", "label", "text"), src)
     model.select("token", "loglikelihood", "logprior").write.mode("overwrite").parquet(weights_path)
     weights = spark.read.parquet(weights_path)
     stream = (spark.readStream.schema("doc_id bigint, label int, text string")
@@ -56,14 +59,17 @@ def stream_score(spark: SparkSession, reviews: DataFrame, model: DataFrame, file
     return spark.read.parquet(sink).drop("epoch")
 
 
-def stream_retrieve(spark: SparkSession, questions: DataFrame, chunk_vectors: DataFrame, k: int = 3,
-                    files_per_batch: int = 1, workdir: str | None = None) -> DataFrame:
+def stream_retrieve(spark: SparkSession, questions: DataFrame | None, chunk_vectors: DataFrame, k: int = 3,
+                    files_per_batch: int = 1, workdir: str | None = None, source_path: str | None = None,
+                    query_type: str = "bigint") -> DataFrame:
     """Answer arriving questions (query_id, question) with their top-k
-    chunks from a static vector table (doc_id, chunk_no, embedding)."""
+    chunks from a static vector table (doc_id, chunk_no, embedding).
+    Questions stream from ``source_path``, or are landed from ``questions``."""
     workdir = workdir or scratch_path(spark, "stream_retrieve")
-    src, sink, vec_path = f"{workdir}/in", f"{workdir}/out", f"{workdir}/vectors"
-    q_type = questions.schema["query_id"].dataType.simpleString()
-    land_files(questions.select("query_id", "question"), src)
+    src, sink, vec_path = source_path or f"{workdir}/in", f"{workdir}/out", f"{workdir}/vectors"
+    q_type = questions.schema["query_id"].dataType.simpleString() if questions is not None else query_type
+    if source_path is None:
+        land_files(questions.select("query_id", "question"), src)
     chunk_vectors.select("doc_id", "chunk_no", "embedding").write.mode("overwrite").parquet(vec_path)
     vectors = spark.read.parquet(vec_path)
     stream = (spark.readStream.schema(f"query_id {q_type}, question string")
