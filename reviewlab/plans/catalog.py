@@ -377,7 +377,8 @@ def q_lexicon_context(spark, sf):
     c = ctx(spark, sf)
     docs = TXT.tokenize(c.split("test").select("doc_id", "text"), "text", "tokens")
     raw = TXT.explode_tokens(docs, "tokens", ("doc_id",)).withColumnRenamed("token", "word")
-    raw = TXT.stem(raw, "word", "stem")
+    stems = TXT.stem_vocabulary(raw, "word")          # each distinct word stemmed once
+    raw = raw.join(stems, "word")
     return LX.context_valences(raw, _lexicon(c)).where(F.col("valence") != 0)
 
 
