@@ -227,20 +227,3 @@ def stem_column_stages(d: Dialect, word_col: str) -> list[dict[str, str]]:
             out.append({f"__st_{k}": v for k, v in fields.items()})
     return out
 
-
-def stem_scalar_sql(d: Dialect, word_col: str, table: str, extra_cols: str = "") -> str:
-    """Scalar form as nested SELECTs over a table with a word column.
-
-    Returns a query with columns (<extra_cols>, o, stem).
-    """
-    stages = stem_stages(d)
-    ex = (extra_cols + ", ") if extra_cols else ""
-    q = f"SELECT {ex}{word_col} AS o FROM {table}"
-    for i, stage in enumerate(stages):
-        fields = stage(lambda k: k)
-        if i == len(stages) - 1:
-            sel = f"o, {fields['w']} AS stem"
-        else:
-            sel = ", ".join(f"{v} AS {k}" for k, v in fields.items())
-        q = f"SELECT {ex}{sel} FROM ({q}) q{i}"
-    return q

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import text as TX
 from ..functions.dialect import SPARK
 from ..operators import bayes as NB
 from ..operators import eda as E
