@@ -82,3 +82,25 @@ def test_recursive_chunks_bounded_and_cover_words(spark):
     for d, t in texts.items():
         if t and t.strip():
             assert set(t.split()) <= words[d]
+
+
+def test_holdout_shares_per_class_and_seed(spark):
+    rev = S.scan_reviews(spark, SF).select("doc_id", "label")
+    h = SP.stratified_holdout(rev, seeds=range(3)).collect()
+    for s in range(3):
+        for lab in (0, 1):
+            rows = [r for r in h if r["seed"] == s and r["label"] == lab]
+            n_val = sum(r["role"] == "validation" for r in rows)
+            assert n_val == (len(rows) + 4) // 5          # every fifth row of the class, rounded up
+
+
+def test_candidate_draws_stay_in_range(spark):
+    from reviewlab.operators.selection import draw_candidates
+    space = {"C": ("uniform", 0.1, 100.1), "g": ("loguniform", 1e-4, 1e-1), "d": ("int", 3, 9),
+             "k": ("choice", ["linear", "rbf"])}
+    rows = draw_candidates(spark, 50, space, 42).collect()
+    assert len({r["candidate_id"] for r in rows}) == 50
+    assert all(0.1 <= r["C"] <= 100.1 and 1e-4 <= r["g"] <= 1e-1 and 3 <= r["d"] <= 9 and r["k"] in ("linear", "rbf")
+               for r in rows)
+    again = draw_candidates(spark, 50, space, 42).collect()
+    assert [tuple(r) for r in rows] == [tuple(r) for r in again]
