@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, cuts, keys_of, packed, planes, sorted_keys, unpacked, unplaned
+from .blocks import ASKED, BLOCK_BYTES, asked, keys_of, merged, mixed, packed, planes, sliced, sorted_keys, unpacked, unplaned
 from .store import partitions, written
 
 #: Counts up to which Good-Turing's estimate is used; larger ones lose as much as this one.
@@ -55,14 +55,6 @@ def discounted(counts: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return c - loss[np.minimum(counts, TRUSTED).astype(np.int64)]
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hash of two."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
 class Block:
     """A block's documents as numbers of its distinct words, the words as sorted hashes."""
 
@@ -123,49 +115,9 @@ def split_blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "block long, body binary")
 
 
-def asked(blocks: DataFrame, schema: str, of_block) -> DataFrame:
-    """Messages to the parts: of_block(block's row) gives (part, packed keys and values)."""
-    def task(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                some = []
-                for part, data in of_block(row):
-                    some.append((part, row["block"], data))
-                    if len(some) == 16:
-                        yield messages(some)
-                        some = []
-                if some:
-                    yield messages(some)
-    return blocks.mapInArrow(task, schema)
-
-
-ASKED = "part int, block long, data binary"
 ANSWERS = "kind int, block long, part int, data binary, seen array<long>"
 
 
-def messages(rows: list) -> pa.RecordBatch:
-    part, block, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names=["part", "block", "data"])
-
-
-def sliced(keys: np.ndarray, parts: int, *values: np.ndarray):
-    """(part, message) of sorted keys and what goes with them."""
-    ends = cuts(keys, parts)
-    for part in np.flatnonzero(np.diff(ends)).tolist():
-        s, e = ends[part], ends[part + 1]
-        yield part, packed(sorted_keys(keys[s:e]), *[planes(v[s:e]) for v in values])
-
-
-def merged(rows: pd.DataFrame) -> tuple:
-    """A part's messages in the order of blocks: (blocks, ends, values' messages, number of each key, which block has it first)."""
-    rows = rows.sort_values("block")
-    got = [unpacked(x) for x in rows["data"]]
-    keys = [keys_of(g[0]) for g in got]
-    ends = np.cumsum([0, *map(len, keys)])
-    _, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return rows["block"].tolist(), ends, got, number, first
-
-
 def count_answers(kind: int):
     """Sum the counts of each key over the blocks and answer each block; with bigrams, also which
     block has a key first.  seen: how many keys have counts 1 to TRUSTED + 1, any count, and their sum."""

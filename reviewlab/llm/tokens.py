@@ -7,7 +7,6 @@ space before it) can be encoded on its own.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 
