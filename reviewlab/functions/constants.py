@@ -60,7 +60,13 @@ HOLDOUT_SVM_C = (1e-3, 1e3)
 HOLDOUT_SVM_GAMMA = (1e-4, 1e-1)
 HOLDOUT_SVM_DRAWS = 10
 HOLDOUT_RF_DRAWS = 5
+HOLDOUT_RF_TREES = (50, 299)        # upper ends of the integer ranges are exclusive
+HOLDOUT_RF_DEPTH = (5, 29)
+HOLDOUT_RF_MIN_SPLIT = (2, 9)
+HOLDOUT_RF_FEATURES = ["sqrt", "log2"]
 TRUNCATE_TOKENS = 512
+BATCH_WORDS = 5000         # words of the default batch model
+BATCH_SCALE = 4.0
 SCORE_BATCH_SIZE = 256
 
 # --- fixed values: retrieval ------------------------------------------------
@@ -83,22 +89,30 @@ EXCLAMATION_STEP = 0.292      # per "!" up to four
 QUESTION_STEP = 0.18          # per "?" for two or three
 QUESTION_MAX = 0.96           # more than three "?"
 NEGATIONS = (
-    "not no never none nobody nothing neither nor nowhere cannot without "
-    "isnt arent wasnt werent dont doesnt didnt cant couldnt wont wouldnt "
-    "shouldnt hasnt havent hadnt aint"
+    "aint arent cannot cant couldnt darent didnt doesnt "
+    "ain't aren't can't couldn't daren't didn't doesn't "
+    "dont hadnt hasnt havent isnt mightnt mustnt neither "
+    "don't hadn't hasn't haven't isn't mightn't mustn't "
+    "neednt needn't never none nope nor not nothing nowhere "
+    "oughtnt shant shouldnt uhuh wasnt werent "
+    "oughtn't shan't shouldn't uh-uh wasn't weren't "
+    "without wont wouldnt won't wouldn't rarely seldom despite"
 ).split()
 BOOSTERS_UP = (
-    "absolutely amazingly awfully completely considerably decidedly deeply "
-    "enormously entirely especially exceptionally extremely fabulously "
-    "greatly highly hugely incredibly intensely majorly more most "
-    "particularly purely quite really remarkably so substantially "
-    "thoroughly totally tremendously uber unbelievably unusually utterly very"
+    "absolutely amazingly awfully completely considerable considerably "
+    "decidedly deeply effing enormous enormously entirely especially "
+    "exceptional exceptionally extreme extremely fabulously flipping flippin "
+    "frackin fracking fricking frickin frigging friggin fully fuckin fucking "
+    "fuggin fugging greatly hella highly hugely incredible incredibly "
+    "intensely major majorly more most particularly purely quite really "
+    "remarkably so substantially thoroughly total totally tremendous "
+    "tremendously uber unbelievably unusually utter utterly very"
 ).split()
 BOOSTERS_DOWN = (
-    "almost barely hardly just enough kind of kinda kindof less little "
-    "marginally occasionally partly scarcely slightly somewhat sort sorta "
-    "sortof"
-).split()
+    "almost,barely,hardly,just enough,kind of,kinda,kindof,kind-of,less,"
+    "little,marginal,marginally,occasional,occasionally,partly,scarce,"
+    "scarcely,slight,slightly,somewhat,sort of,sorta,sortof,sort-of"
+).split(",")
 CONTRAST_WORD = "but"
 LEXICON_CLIP = 4.0            # induced valences are clipped to [-4, 4]
 LEXICON_MIN_COUNT = 5         # minimum token frequency for an induced valence

@@ -44,5 +44,16 @@ def word_count_sql(d: Dialect, text: str) -> str:
     return f"CAST({d.size(d.filter(parts, 'x', "x <> ''"))} AS BIGINT)"
 
 
+# --- raw words: white-space runs, signs at both ends removed, inner ones (don't) kept
+EDGE_PATTERN = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
+def raw_words_sql(d: Dialect, text: str) -> str:
+    """Words in order, case kept, typographic apostrophes made plain."""
+    fn = "split" if d.spark else "regexp_split_to_array"
+    parts = f"{fn}(replace(coalesce({text}, ''), '\u2019', {d.lit(chr(39))}), {d.lit(r'\s+')})"
+    return d.filter(d.transform(parts, "x", d.rx_replace("x", EDGE_PATTERN, "")), "x", "x <> ''")
+
+
 def stem_array_steps(d: Dialect) -> list[str]:
     return stem_array_sql(d, "__stem")

@@ -49,6 +49,12 @@ def token_label_features(docs: DataFrame, tokens: DataFrame, freqs: DataFrame,
             .withColumn("tlc_neg", F.coalesce(F.col("tlc_neg"), F.lit(0)).cast("double")))
 
 
+def nb_prior(train_docs: DataFrame, label_col: str = "label") -> DataFrame:
+    """One row: logprior = ln(D_pos) - ln(D_neg), from the document counts alone."""
+    y = F.col(label_col)
+    return train_docs.agg((safe_log(F.count_if(y == 1)) - safe_log(F.count_if(y == 0))).alias("logprior"))
+
+
 def nb_train(train_docs: DataFrame, train_tokens: DataFrame, label_col: str = "label") -> DataFrame:
     """(token, n_pos, n_neg, loglikelihood, logprior).
 
@@ -58,19 +64,18 @@ def nb_train(train_docs: DataFrame, train_tokens: DataFrame, label_col: str = "l
     freqs = token_label_freqs(train_tokens, label_col)
     tot = freqs.agg(F.struct(F.sum("n_pos").alias("N_pos"), F.sum("n_neg").alias("N_neg"),
                              F.count(F.lit(1)).alias("V")).alias("t")).scalar()
-    docs = train_docs.agg(F.struct(F.count_if(F.col(label_col) == 1).alias("D_pos"),
-                                   F.count_if(F.col(label_col) == 0).alias("D_neg")).alias("d")).scalar()
+    prior = nb_prior(train_docs, label_col).scalar()
     V = tot.getField("V")
     ll = (F.log((F.col("n_pos") + 1) / (tot.getField("N_pos") + V))
           - F.log((F.col("n_neg") + 1) / (tot.getField("N_neg") + V)))
-    prior = safe_log(docs.getField("D_pos")) - safe_log(docs.getField("D_neg"))
     return freqs.select("token", "n_pos", "n_neg", ll.alias("loglikelihood"), prior.alias("logprior"))
 
 
-def nb_predict(docs: DataFrame, tokens: DataFrame, model: DataFrame, keys=("doc_id",)) -> DataFrame:
+def nb_predict(docs: DataFrame, tokens: DataFrame, model: DataFrame, keys=("doc_id",), prior: DataFrame | None = None) -> DataFrame:
     """score = logprior + sum of loglikelihoods of the document's tokens
-    (repeats counted, unknown tokens 0); prediction = score > 0."""
-    prior = model.agg(F.max("logprior")).scalar()
+    (repeats counted, unknown tokens 0); prediction = score > 0.  The one-row
+    ``prior`` (nb_prior) saves reading the model for its constant column."""
+    prior = (model.agg(F.max("logprior")) if prior is None else prior).scalar()
     per_doc = doc_token_counts(tokens, keys)
     sums = (per_doc.join(model.select("token", "loglikelihood"), "token")
             .groupBy(*keys).agg(F.sum(F.col("n") * F.col("loglikelihood")).alias("__s")))

@@ -54,14 +54,13 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
     all values are equal everything falls into bin 0.
     """
     x = F.col(col).cast("double")
-    stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
-    width = hi - lo
+    spark = df.sparkSession
+    ends = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("e")).scalar()
+    lo, width = ends.getField("lo"), ends.getField("hi") - ends.getField("lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) * bins / width), F.lit(bins - 1))).cast("int")
     counts = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = stats.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (grid.join(counts, "bin", "left")
             .select("bin",
                     F.round(lo + F.col("bin") * width / bins, 6).alias("bin_lo"),
@@ -93,7 +92,7 @@ def submean_by_label(df: DataFrame, value_cols, label_col: str = "label") -> Dat
 def pair_correlations(df: DataFrame, cols, label_col: str = "label") -> DataFrame:
     """Pearson correlation of every pair of score columns, per label."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    agg = df.groupBy(label_col).agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    agg = df.groupBy(label_col).agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"{a}__{b}") for a, b in pairs])
     long = agg.unpivot([label_col], [f"{a}__{b}" for a, b in pairs], "pair", "corr")
     return long.select(label_col, F.split("pair", "__")[0].alias("var_x"), F.split("pair", "__")[1].alias("var_y"),
                        F.round("corr", 6).alias("corr"))

@@ -46,12 +46,11 @@ def tfidf_transform(tf: DataFrame, idf: DataFrame, keys=("doc_id",), bounded: bo
 
 def standard_scale(fit: DataFrame, apply_to: DataFrame, cols) -> DataFrame:
     """z-scores with the fit rows' mean and population standard deviation."""
-    out = apply_to
-    for c in cols:
-        st = fit.agg(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias("st")).scalar()
-        z = F.when(st.getField("s") > 0, (F.col(c) - st.getField("m")) / st.getField("s")).otherwise(F.lit(0.0))
-        out = out.withColumn(f"z_{c}", z)
-    return out
+    moments = fit.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in cols
+                                 for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("st")).scalar()
+    return apply_to.withColumns({f"z_{c}": F.when(
+        moments.getField(f"s_{c}") > 0, (F.col(c) - moments.getField(f"m_{c}")) / moments.getField(f"s_{c}")).otherwise(F.lit(0.0))
+        for c in cols})
 
 
 def chi2_scores(doc_terms: DataFrame, docs: DataFrame, label_col: str = "label") -> DataFrame:

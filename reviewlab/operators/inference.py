@@ -6,7 +6,6 @@ fixed size and the model is built once per Python worker by a factory.
 
 from __future__ import annotations
 
-import zlib
 from typing import Callable
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from ..functions import text as TX
 
 SCORE_STRUCT = T.StructType([
     T.StructField("neg", T.DoubleType()), T.StructField("neu", T.DoubleType()),
@@ -34,10 +34,6 @@ def softmax(logits: Column) -> Column:
     return F.transform(e, lambda x: x / s)
 
 
-def log_odds(pos: Column, neg: Column) -> Column:
-    return F.log(pos) - F.log(neg)
-
-
 def log_softmax(logits: Column) -> Column:
     m = F.array_max(logits)
     lse = m + F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - m)), F.lit(0.0), lambda a, x: a + x))
@@ -56,49 +52,44 @@ def argmax(arr: Column) -> Column:
 
 
 # --------------------------------------------------------------- models
-def hashed_linear_factory(dims: int = 1 << 14, classes: int = 3, seed: int = K.SEARCH_SEED):
-    """Built-in stand-in for a pretrained text classifier: a fixed random
-    linear map over hashed word counts.  Returns a factory that builds the
-    predict function once per Python worker."""
+def weighted_words_factory(weights: dict[str, float], limit: int = K.TRUNCATE_TOKENS, scale: float = K.BATCH_SCALE):
+    """A text classifier from word weights (a bounded vocabulary): logits (-s, 0, s) with
+    s = scale * (sum of the weights of the text's first `limit` words) / sqrt(words read).
+    Returns a factory that builds the predict function once per Python worker."""
     def make():
-        rng = np.random.default_rng(seed)
-        W = rng.normal(0.0, 1.0, size=(dims, classes))
-
-        def featurize(text: str) -> np.ndarray:
-            v = np.zeros(dims)
-            for w in (text or "").lower().split():
-                v[zlib.crc32(w.encode("utf-8")) % dims] += 1.0
-            n = np.linalg.norm(v)
-            return v / n if n > 0 else v
-
-        def predict(texts: np.ndarray) -> np.ndarray:
-            X = np.stack([featurize(t) for t in texts]) if len(texts) else np.zeros((0, dims))
-            return X @ W * 4.0
+        import regex
+        word = regex.compile(TX.WORD_PATTERN)
+
+        def predict(texts) -> np.ndarray:
+            s = np.zeros(len(texts))
+            for i, t in enumerate(texts):
+                words = word.findall((t or "").lower())[:limit]
+                s[i] = scale * sum(weights.get(w, 0.0) for w in words) / max(1, len(words)) ** 0.5
+            return np.stack([-s, np.zeros(len(texts)), s], axis=1)
         return predict
     return make
 
 
-def _probs(logits: np.ndarray) -> np.ndarray:
+def _scores(logits: np.ndarray) -> np.ndarray:
+    """Columns neg, neu, pos and compound = ln(pos) - ln(neg), without underflow."""
     z = logits - logits.max(axis=1, keepdims=True)
     e = np.exp(z)
-    return e / e.sum(axis=1, keepdims=True)
+    return np.column_stack([e / e.sum(axis=1, keepdims=True), logits[:, 2] - logits[:, 0]])
 
 
-def batch_score(df: DataFrame, text_col: str = "text", factory: Callable | None = None,
-                batch_size: int = K.SCORE_BATCH_SIZE, prefix: str = "roberta_") -> DataFrame:
+def batch_score(df: DataFrame, factory: Callable, text_col: str = "text", batch_size: int = K.SCORE_BATCH_SIZE,
+                prefix: str = "roberta_") -> DataFrame:
     """Three-class probabilities and compound = ln(pos) - ln(neg) per row,
-    through ``predict_batch_udf`` (Arrow batches of ``batch_size``)."""
+    through ``predict_batch_udf`` (Arrow batches of ``batch_size``).  factory()
+    gives a function from texts to logits, which applies its own input limit."""
     from pyspark.ml.functions import predict_batch_udf
 
-    factory = factory or hashed_linear_factory()
-
     def make_predict_fn():
         model = factory()
 
         def predict(texts: np.ndarray) -> dict:
-            p = _probs(np.asarray(model(texts), dtype=float))
-            return {"neg": p[:, 0], "neu": p[:, 1], "pos": p[:, 2],
-                    "compound": np.log(p[:, 2]) - np.log(p[:, 0])}
+            p = _scores(np.asarray(model(texts), dtype=float))
+            return dict(zip(("neg", "neu", "pos", "compound"), p.T))
         return predict
 
     udf = predict_batch_udf(make_predict_fn, return_type=SCORE_STRUCT, batch_size=batch_size)
@@ -108,12 +99,11 @@ def batch_score(df: DataFrame, text_col: str = "text", factory: Callable | None
         *[F.col(f"__s.{k}").alias(prefix + k) for k in ("neg", "neu", "pos", "compound")])
 
 
-def batch_score_safe(df: DataFrame, key: str = "doc_id", text_col: str = "text", factory: Callable | None = None,
+def batch_score_safe(df: DataFrame, factory: Callable, key: str = "doc_id", text_col: str = "text",
                      batch_size: int = K.SCORE_BATCH_SIZE, prefix: str = "roberta_") -> DataFrame:
     """Like ``batch_score`` but a failing batch is retried in halves; rows
     that still fail keep null scores and the error text.  Rows are keyed by
     ``key``, never by position."""
-    factory = factory or hashed_linear_factory()
     key_type = df.schema[key].dataType.simpleString()
     schema = (f"{key} {key_type}, {prefix}neg double, {prefix}neu double, {prefix}pos double, "
               f"{prefix}compound double, error string")
@@ -123,8 +113,8 @@ def batch_score_safe(df: DataFrame, key: str = "doc_id", text_col: str = "text",
 
         def score(keys, texts):
             try:
-                p = _probs(np.asarray(model(texts), dtype=float))
-                return [(k, a, b, c, float(np.log(c) - np.log(a)), None) for k, (a, b, c) in zip(keys, p[:, :3])]
+                p = _scores(np.asarray(model(texts), dtype=float))
+                return [(k, *map(float, x), None) for k, x in zip(keys, p)]
             except Exception as e:  # noqa: BLE001
                 if len(texts) == 1:
                     return [(keys[0], None, None, None, None, f"{type(e).__name__}: {e}")]
@@ -141,11 +131,11 @@ def batch_score_safe(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     return df.select(key, text_col).mapInPandas(run, schema)
 
 
-def verdict_label(df: DataFrame, text_col: str = "text", factory: Callable | None = None,
-                  batch_size: int = K.SCORE_BATCH_SIZE) -> DataFrame:
+def pipeline_label(df: DataFrame, factory: Callable, text_col: str = "text",
+                   batch_size: int = K.SCORE_BATCH_SIZE) -> DataFrame:
     """Two-way verdict per row: label 'POSITIVE' / 'NEGATIVE' and its
     probability, from the positive and negative classes of the model."""
-    s = batch_score(df, text_col, factory, batch_size, prefix="__v_")
+    s = batch_score(df, factory, text_col, batch_size, prefix="__v_")
     pos, neg = F.col("__v_pos"), F.col("__v_neg")
     p = pos / (pos + neg)
     return s.select(*df.columns,

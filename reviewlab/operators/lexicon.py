@@ -8,10 +8,12 @@ when none is supplied one is induced from labelled data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import text as TX
+from ..functions.dialect import SPARK
 
 
 def induce_lexicon(nb_model: DataFrame, clip: float = K.LEXICON_CLIP,
@@ -58,39 +60,55 @@ def score_from_valences(docs: DataFrame, valences: DataFrame, keys=("doc_id",),
     return out
 
 
-def lexicon_score(docs: DataFrame, tokens: DataFrame, lexicon: DataFrame, keys=("doc_id",),
-                  text_col: str = "text") -> DataFrame:
-    """Context-free scores: each token's valence as listed (0 if absent)."""
-    val = (tokens.join(lexicon, "token", "left")
-           .select(*keys, F.coalesce(F.col("valence"), F.lit(0.0)).alias("valence")))
-    return score_from_valences(docs, val, keys, text_col)
+def raw_words(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, pos, word, low, caps, p1..p4, c1..c3, first_but): each raw word with the four
+    before it, lower-cased, whether it and the three before are ALL-CAPS in a text
+    that isn't wholly so, and the place of the first contrast word.  Row-local: no window."""
+    words = docs.select(key, F.expr(TX.raw_words_sql(SPARK, text_col)).alias("w"))
+    caps = F.transform("w", _caps)
+    lists = words.select(key, "w", F.transform("w", lambda x: F.lower(x)).alias("l"), caps.alias("c"))
+    mixed = F.exists("c", lambda x: x) & ~F.forall("c", lambda x: x)
+    lists = lists.select(key, "w", "l", F.when(mixed, F.col("c")).otherwise(F.transform("c", lambda x: F.lit(False))).alias("c"),
+                         (F.array_position("l", K.CONTRAST_WORD) - 1).alias("first_but"))
+    at = lists.select(key, F.posexplode("w").alias("pos", "word"), "l", "c", "first_but")
+    return at.select(key, "pos", "word", F.col("l")[F.col("pos")].alias("low"), F.col("c")[F.col("pos")].alias("caps"),
+                     *[F.get("l", F.col("pos") - i).alias(f"p{i}") for i in (1, 2, 3, 4)],
+                     *[F.coalesce(F.get("c", F.col("pos") - i), F.lit(False)).alias(f"c{i}") for i in (1, 2, 3)],
+                     F.when(F.col("first_but") >= 0, F.col("first_but")).alias("first_but"))
 
 
-def context_valences(raw_tokens: DataFrame, lexicon: DataFrame, stem_col: str = "stem",
-                     word_col: str = "word", key: str = "doc_id") -> DataFrame:
-    """Per token occurrence, its valence adjusted by the three words before
-    it (intensifiers, dampeners, negations) and by a 'but' in the text.
+def _caps(x):
+    """An upper-case letter and no lower-case one."""
+    return x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}")
 
-    raw_tokens: (doc_id, pos, word, stem) over the unfiltered token stream.
+
+def context_valences(words: DataFrame, stems: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, word, valence) of every raw word, 0 for words outside the lexicon.
+
+    words: raw_words; stems: (word, stem) of the lower-cased words; lexicon: (token, valence)
+    by stem.  The valence is raised for ALL-CAPS, raised or lowered by intensifiers and
+    dampeners (one word or two) among the three words before, turned for each negation among
+    them, and weighted by the side of the first "but" it stands on.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    t = raw_tokens.join(lexicon.withColumnRenamed("token", stem_col), stem_col, "left") \
-        .withColumn("v0", F.coalesce(F.col("valence"), F.lit(0.0)))
-    prev = [F.lag(word_col, i).over(w) for i in (1, 2, 3)]
-    boost = F.lit(0.0)
-    neg_count = F.lit(0)
-    for i, p in enumerate(prev):
-        up = p.isin(K.BOOSTERS_UP)
-        down = p.isin(K.BOOSTERS_DOWN)
-        step = (F.when(up, F.lit(K.BOOST_INCREMENT)).when(down, F.lit(K.BOOST_DECREMENT)).otherwise(F.lit(0.0))
-                * K.DISTANCE_DAMPING[i])
-        boost = boost + F.coalesce(step, F.lit(0.0))
-        neg_count = neg_count + F.coalesce(p.isin(K.NEGATIONS).cast("int"), F.lit(0))
-    v0 = F.col("v0")
-    boosted = F.when(v0 > 0, v0 + boost).when(v0 < 0, v0 - boost).otherwise(v0)
-    negated = boosted * F.pow(F.lit(K.NEGATION_SCALAR), neg_count)
-    first_but = F.min(F.when(F.col(word_col) == K.CONTRAST_WORD, F.col("pos"))).over(Window.partitionBy(key))
-    weight = (F.when(first_but.isNull(), F.lit(1.0))
-              .when(F.col("pos") < first_but, F.lit(K.BUT_BEFORE))
-              .when(F.col("pos") > first_but, F.lit(K.BUT_AFTER)).otherwise(F.lit(1.0)))
-    return t.select(key, "pos", word_col, F.round(negated * weight, 6).alias("valence"))
+    v0 = F.coalesce(F.col("valence"), F.lit(0.0))
+    sign = F.when(v0 > 0, F.lit(1.0)).when(v0 < 0, F.lit(-1.0)).otherwise(F.lit(0.0))
+    v = v0 + sign * F.when(F.col("caps"), F.lit(K.CAPS_INCREMENT)).otherwise(F.lit(0.0))
+    negations = F.lit(0)
+    for i, damp in zip((1, 2, 3), K.DISTANCE_DAMPING):
+        one, two = F.col(f"p{i}"), F.concat(F.col(f"p{i + 1}"), F.lit(" "), F.col(f"p{i}"))
+        step = (F.when(one.isin(K.BOOSTERS_UP), F.lit(K.BOOST_INCREMENT))
+                .when(one.isin(K.BOOSTERS_DOWN) | F.coalesce(two.isin(K.BOOSTERS_DOWN), F.lit(False)), F.lit(K.BOOST_DECREMENT)))
+        step = step + F.when(F.col(f"c{i}"), F.lit(K.CAPS_INCREMENT)).otherwise(F.lit(0.0))
+        v = v + sign * F.coalesce(step, F.lit(0.0)) * damp
+        turned = one.isin(K.NEGATIONS) | one.contains("n't")
+        negations = negations + F.coalesce(turned.cast("int"), F.lit(0))
+    but = (F.when(F.col("pos") < F.col("first_but"), F.lit(K.BUT_BEFORE))
+           .when(F.col("pos") > F.col("first_but"), F.lit(K.BUT_AFTER)).otherwise(F.lit(1.0)))
+    by_word = (stems.join(lexicon, stems["stem"] == lexicon["token"]).select(F.col("word").alias("low"), "valence"))
+    joined = words.join(by_word, "low", "left")
+    return joined.select(key, "pos", "word", F.round(v * F.pow(F.lit(K.NEGATION_SCALAR), negations) * but, 6).alias("valence"))
+
+
+def lexicon_score(docs: DataFrame, valences: DataFrame, keys=("doc_id",), text_col: str = "text") -> DataFrame:
+    """Document scores from the valences in context (context_valences)."""
+    return score_from_valences(docs, valences.select(*keys, "valence"), keys, text_col)

@@ -2,19 +2,18 @@
 
 Every random choice is a keyed md5 draw, so Spark and SQL agree and reruns
 are stable.  Ranks inside a class are computed without a one-partition
-window: rows are range-partitioned by (class, draw), counted per
-partition, and the per-partition counts (a table of partitions x classes)
-become offsets.
+window: rows are counted per range of the draw, and the counts (a table of
+ranges x classes) become offsets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.dialect import SPARK
-from ..sources.tables import partitions, with_split
+from ..sources.tables import dense_rank_by, partitions, with_split
 
 
 def draw(seed, key: str = "doc_id"):
@@ -31,26 +30,15 @@ def train_test_split(df: DataFrame, seed: int = K.SHUFFLE_SEED) -> DataFrame:
     return with_split(df, seed)
 
 
-def rank_within(df: DataFrame, group_cols, order_cols, out: str = "rank") -> DataFrame:
-    """0-based rank of each row inside its group, ordered by order_cols.
+def rank_within(df: DataFrame, group_cols, draw_col: str, tie_cols, out: str = "rank") -> DataFrame:
+    """0-based rank of each row inside its group, by a draw in [0, 2^32) and then tie_cols.
 
-    Distributed: range partitioning by (group, order) spreads even a group
-    that holds most rows over many tasks; offsets come from a small table
-    with one row per (partition, group).
+    The draw is uniform, so its leading part spreads even a group that holds
+    most rows over as many ranges as there are shuffle partitions.
     """
-    group_cols, order_cols = list(group_cols), list(order_cols)
     parts = partitions(df.sparkSession)
-    ranged = (df.repartitionByRange(parts, *group_cols, *order_cols)
-              .withColumn("__part", F.spark_partition_id()))
-    w_local = Window.partitionBy("__part", *group_cols).orderBy(*order_cols)
-    local = ranged.withColumn("__local", F.row_number().over(w_local) - 1)
-    counts = local.groupBy("__part", *group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    w_off = Window.partitionBy(*group_cols).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", *group_cols, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-    # offsets has one row per (partition, group): its size is bounded by the plan, not the data
-    return (local.join(F.broadcast(offsets), ["__part", *group_cols])
-            .withColumn(out, (F.col("__off") + F.col("__local")).cast("bigint"))
-            .drop("__part", "__local", "__off"))
+    part = F.floor(F.col(draw_col) * parts / float(1 << 32)).cast("int")
+    return dense_rank_by(df, part, group_cols, [draw_col, *tie_cols], out)
 
 
 def stratified_folds(train: DataFrame, k: int = K.N_FOLDS, seed: int = K.SHUFFLE_SEED,
@@ -58,7 +46,7 @@ def stratified_folds(train: DataFrame, k: int = K.N_FOLDS, seed: int = K.SHUFFLE
     """fold = (rank inside the class by a keyed draw) mod k: class shares
     of any two folds differ by at most one row."""
     d = train.withColumn("__d", draw(f"fold{seed}", key))
-    r = rank_within(d, [label_col], ["__d", key], "__r")
+    r = rank_within(d, [label_col], "__d", [key], "__r")
     return r.withColumn("fold", (F.col("__r") % k).cast("int")).drop("__d", "__r")
 
 
@@ -69,6 +57,6 @@ def stratified_holdout(train: DataFrame, seeds=range(K.N_FOLDS), label_col: str
     seeds = [int(s) for s in seeds]
     allp = (train.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
             .withColumn("__d", F.expr(SPARK.hex8("concat('holdout', CAST(seed AS STRING), ':', CAST(" + key + " AS STRING))"))))
-    r = rank_within(allp, ["seed", label_col], ["__d", key], "__r")
+    r = rank_within(allp, ["seed", label_col], "__d", [key], "__r")
     return r.withColumn("role", F.when(F.col("__r") % test_share_buckets == 0, F.lit("validation"))
                         .otherwise(F.lit("fit"))).drop("__d", "__r")

@@ -15,6 +15,7 @@ from ..functions import constants as K
 from ..functions import text as TX
 from ..functions.dialect import SPARK
 from ..functions.porter import stem_column_stages
+from ..session import written
 
 
 def strip_urls(df: DataFrame, col: str = "text", out: str = "text") -> DataFrame:
@@ -83,29 +84,22 @@ def kept_tokens(df: DataFrame, text_col: str = "text", keep=("doc_id",)) -> Data
     return df.select(*keep, F.posexplode(F.expr(TX.kept_tokens_sql(SPARK, text_col))).alias("pos", "raw"))
 
 
-BROADCAST_WORDS = 2_000_000     # stem tables up to this many words are broadcast
-
-
-def corpus_tokens(df: DataFrame, text_col: str = "text", keep=("doc_id",),
-                  broadcast_words: int | None = BROADCAST_WORDS) -> DataFrame:
+def corpus_tokens(df: DataFrame, text_col: str = "text", keep=("doc_id",), stems: DataFrame | None = None) -> DataFrame:
     """Long form (keep..., pos, token) of the fully preprocessed corpus.
 
-    Each distinct word is stemmed once (the vocabulary is an order of
-    magnitude smaller than the token stream) and joined back on the word.
-    The stem table is written once (reliable checkpoint) and counted: up to
-    ``broadcast_words`` words it is broadcast, so token rows never move and
-    keep the document partitioning; beyond that the join is a shuffle join
-    whose hot words are split by AQE's skew handling.
+    The raw tokens are written once and read by both the vocabulary and the
+    join.  Each distinct word is stemmed once and joined back on the word;
+    the planner sees the written stem table's size and broadcasts it where
+    that is under the threshold, else hot words are split by AQE.  With
+    ``stems`` (word, stem) of an earlier run only new words are stemmed.
     """
-    raw = kept_tokens(df, text_col, keep)
-    stems = stem_vocabulary(raw, "raw")
-    if broadcast_words is not None:
-        from ..session import checkpoint_root
-        checkpoint_root(df.sparkSession)
-        stems = stems.checkpoint(eager=True)
-        if stems.count() <= broadcast_words:
-            stems = F.broadcast(stems)
-    return (raw.join(stems, raw["raw"] == stems["word"])
+    raw = written(kept_tokens(df, text_col, keep), "raw-tokens")
+    if stems is None:
+        table = written(stem_vocabulary(raw, "raw"), "stems")
+    else:
+        new = raw.select(F.col("raw").alias("word")).distinct().join(stems, "word", "left_anti")
+        table = stems.select("word", "stem").unionByName(written(stem_vocabulary(new, "word"), "stems"))
+    return (raw.join(table, raw["raw"] == table["word"])
             .select(*keep, "pos", F.col("stem").alias("token")))
 
 
@@ -136,10 +130,6 @@ def assemble_corpus(df: DataFrame, long: DataFrame, keep=("doc_id",)) -> DataFra
                       F.size(toks).cast("bigint").alias("token_count"))
 
 
-def processed_text(tokens_df: DataFrame, col: str = "tokens") -> DataFrame:
-    return tokens_df.withColumn("processed_text", F.array_join(F.col(col), " "))
-
-
 def vocabulary(long: DataFrame, col: str = "token") -> DataFrame:
     """Distinct tokens with term frequency and document frequency."""
     per_doc = long.groupBy("doc_id", col).agg(F.count(F.lit(1)).alias("__n"))

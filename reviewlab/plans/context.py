@@ -1,7 +1,7 @@
 """Shared building blocks of the registered queries, per (session, data folder).
 
-Nothing here is evaluated eagerly; these are lazily-built DataFrames that
-several queries reuse, so each query is one plan over the given tables.
+Lazily-built DataFrames that several queries reuse, but for ``tokens``: the
+token table is written when first touched, which runs a job.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import text as TXT
-from ..session import checkpoint_root
+from ..session import written
 from ..sources import tables as S
 
 
@@ -31,9 +31,14 @@ class Ctx:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        """(doc_id, text, lang, source, label), hash-partitioned by doc_id."""
+        """(doc_id, text, lang, source, label) of the labelled documents."""
         return S.scan_reviews(self.spark, self.sf_dir, self.label_col)
 
+    @cached_property
+    def all_reviews(self) -> DataFrame:
+        """The same over all documents; label is null where there is none."""
+        return S.scan_reviews(self.spark, self.sf_dir, self.label_col, "left")
+
     @cached_property
     def sreviews(self) -> DataFrame:
         """reviews + split column ('train' / 'test')."""
@@ -46,14 +51,12 @@ class Ctx:
     def tokens(self) -> DataFrame:
         """Long form (doc_id, label, split, pos, token) of the preprocessed reviews.
 
-        Written once, eagerly, to the checkpoint folder (reliable, survives
-        executor loss) before any consumer runs, so the main plan and its
-        scalar subqueries all read the same written rows instead of racing
-        to compute them.
+        Written when first touched, as Parquet by split in the shared folder,
+        so the main plan and its scalar subqueries read the same rows, each
+        only its columns and its split.
         """
-        checkpoint_root(self.spark)
         long = TXT.corpus_tokens(self.sreviews, "text", keep=("doc_id", "label", "split"))
-        return long.checkpoint(eager=True)
+        return written(long.select("doc_id", "label", "pos", "token", "split"), "tokens", ("split",))
 
     def split_tokens(self, name: str) -> DataFrame:
         return self.tokens.where(F.col("split") == name)

@@ -8,6 +8,8 @@ relational work (joins, aggregates, windows) is written here as SQL.
 
 from __future__ import annotations
 
+import re
+
 from ..functions import constants as K
 from ..functions import text as TX
 from ..functions.dialect import DUCK as D
@@ -29,6 +31,8 @@ def with_(*ctes: str) -> str:
 
 
 # ------------------------------------------------------------ shared CTEs
+ALL_REVIEWS = ("all_reviews AS (SELECT d.doc_id, d.text, d.lang, d.source, l.quality AS label "
+               "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
 REVIEWS = ("reviews AS (SELECT d.doc_id, d.text, d.lang, d.source, l.quality AS label "
            "FROM documents d JOIN labels l ON d.doc_id = l.doc_id)")
 SREVIEWS = (f"sreviews AS (SELECT *, CASE WHEN {keyed_bucket(D, K.SHUFFLE_SEED, 'doc_id', K.TEST_BUCKETS)} = 0 "
@@ -125,13 +129,13 @@ def _():
 @sql("missing_counts")
 def _():
     cols = ["doc_id", "text", "lang", "source", "label"]
-    return with_(REVIEWS) + "SELECT " + ", ".join(
-        f"count(*) FILTER (WHERE {c} IS NULL)::BIGINT AS n_missing_{c}" for c in cols) + " FROM reviews"
+    return with_(ALL_REVIEWS) + "SELECT " + ", ".join(
+        f"count(*) FILTER (WHERE {c} IS NULL)::BIGINT AS n_missing_{c}" for c in cols) + " FROM all_reviews"
 
 
 @sql("handle_missing")
 def _():
-    return with_(REVIEWS) + "SELECT doc_id, label, coalesce(text, '') AS text FROM reviews WHERE label IS NOT NULL"
+    return with_(ALL_REVIEWS) + "SELECT doc_id, label, coalesce(text, '') AS text FROM all_reviews WHERE label IS NOT NULL"
 
 
 @sql("encode_label")
@@ -409,17 +413,47 @@ def _amp(t="text"):
             f"WHEN {qm} > 1 THEN {qm} * {K.QUESTION_STEP} ELSE 0.0e0 END)")
 
 
-VAL = ("val AS (SELECT t.doc_id, coalesce(x.valence, 0.0e0) AS valence FROM tok t LEFT JOIN lexicon x "
-       "ON t.token = x.token WHERE t.split = 'test')")
-VSUM = ("vsum AS (SELECT r.doc_id, r.label, r.text, s.vs, s.ps, s.ns, s.nu, coalesce(s.n, 0) AS n, "
+NT = "n't"     # ends contracted negations
+
+
+def _in(xs):
+    return "(" + ", ".join(D.lit(x) for x in xs) + ")"
+
+
+def _valences_sql() -> list[str]:
+    """val: every raw word's valence in context, by list indexing."""
+    def before(name, i, none):
+        return f"CASE WHEN pos >= {i} THEN {name}[pos - {i - 1}] ELSE {none} END"
+    caps = "(regexp_matches(x, '\\p{Lu}') AND NOT regexp_matches(x, '\\p{Ll}'))"
+    lists = (f"wl0 AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS l, list_transform(w, lambda x: {caps}) AS c "
+             f"FROM (SELECT doc_id, {TX.raw_words_sql(D, 'text')} AS w FROM sreviews))")
+    mixed = "(list_contains(c, true) AND list_contains(c, false))"
+    at = (f"wat AS (SELECT doc_id, unnest(range(len(w))) AS pos, w, l, c, {mixed} AS mixed, list_position(l, '{K.CONTRAST_WORD}') - 1 AS fb FROM wl0)")
+    each = ("wctx AS (SELECT doc_id, pos, w[pos + 1] AS word, l[pos + 1] AS low, mixed AND c[pos + 1] AS caps, fb, "
+            + ", ".join(f"{before('l', i, 'NULL')} AS p{i}" for i in (1, 2, 3, 4)) + ", "
+            + ", ".join(f"mixed AND {before('c', i, 'false')} AS c{i}" for i in (1, 2, 3)) + " FROM wat)")
+    wstem = f"wstem AS ({stem_table('SELECT DISTINCT low AS w FROM wctx')})"
+    v0 = "wv AS (SELECT r.*, coalesce(x.valence, 0.0e0) AS v0, sign(coalesce(x.valence, 0.0e0)) AS sg FROM wctx r JOIN wstem s ON r.low = s.o LEFT JOIN lexicon x ON s.stem = x.token)"
+    steps = " + ".join(
+        f"coalesce(CASE WHEN p{i} IN {_in(K.BOOSTERS_UP)} THEN {K.BOOST_INCREMENT} "
+        f"WHEN p{i} IN {_in(K.BOOSTERS_DOWN)} OR coalesce((p{i + 1} || ' ' || p{i}) IN {_in(K.BOOSTERS_DOWN)}, false) THEN {K.BOOST_DECREMENT} END "
+        f"+ CASE WHEN c{i} THEN {K.CAPS_INCREMENT} ELSE 0.0e0 END, 0.0e0) * {damp}" for i, damp in zip((1, 2, 3), K.DISTANCE_DAMPING))
+    negs = " + ".join(f"coalesce(CAST((p{i} IN {_in(K.NEGATIONS)} OR contains(p{i}, {D.lit(NT)})) AS INTEGER), 0)" for i in (1, 2, 3))
+    v = (f"(v0 + sg * CASE WHEN caps THEN {K.CAPS_INCREMENT} ELSE 0.0e0 END + sg * ({steps})) * pow({K.NEGATION_SCALAR}, {negs}) "
+         f"* CASE WHEN fb < 0 THEN 1.0e0 WHEN pos < fb THEN {K.BUT_BEFORE} WHEN pos > fb THEN {K.BUT_AFTER} ELSE 1.0e0 END")
+    return [lists, at, each, wstem, v0, f"val AS (SELECT doc_id, pos, word, round({v}, 6) AS valence FROM wv)"]
+
+
+VAL = _valences_sql()
+VSUM = ("vsum AS (SELECT r.doc_id, r.label, r.split, r.text, s.vs, s.ps, s.ns, s.nu, coalesce(s.n, 0) AS n, "
         f"{_amp('r.text')} AS amp FROM sreviews r LEFT JOIN (SELECT doc_id, sum(valence) AS vs, "
         "sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0.0e0 END) AS ps, "
         "sum(CASE WHEN valence < 0 THEN valence - 1 ELSE 0.0e0 END) AS ns, "
         "count(*) FILTER (WHERE valence = 0) AS nu, count(*) AS n FROM val GROUP BY doc_id) s "
-        "ON r.doc_id = s.doc_id WHERE r.split = 'test')")
+        "ON r.doc_id = s.doc_id)")
 VADJ = ("vadj AS (SELECT *, CASE WHEN vs > 0 THEN vs + amp WHEN vs < 0 THEN vs - amp ELSE vs END AS s2, "
         "CASE WHEN ps > -ns THEN ps + amp ELSE ps END AS p2, CASE WHEN ps < -ns THEN ns - amp ELSE ns END AS n2 FROM vsum)")
-VADER = ("vader AS (SELECT doc_id, label, text, "
+VADER = ("vader AS (SELECT doc_id, label, split, text, "
          "CASE WHEN n > 0 THEN round(abs(n2 / (p2 - n2 + nu)), 3) ELSE 0.0e0 END AS neg, "
          "CASE WHEN n > 0 THEN round(abs(nu / (p2 - n2 + nu)), 3) ELSE 0.0e0 END AS neu, "
          "CASE WHEN n > 0 THEN round(abs(p2 / (p2 - n2 + nu)), 3) ELSE 0.0e0 END AS pos, "
@@ -429,7 +463,7 @@ ROBERTA = ("roberta AS (SELECT doc_id, label, "
            "exp(0.0e0 - greatest(-score, 0.0e0, score)) / (exp(-score - greatest(-score, 0.0e0, score)) + exp(0.0e0 - greatest(-score, 0.0e0, score)) + exp(score - greatest(-score, 0.0e0, score))) AS roberta_neu, "
            "exp(score - greatest(-score, 0.0e0, score)) / (exp(-score - greatest(-score, 0.0e0, score)) + exp(0.0e0 - greatest(-score, 0.0e0, score)) + exp(score - greatest(-score, 0.0e0, score))) AS roberta_pos "
            "FROM scores)")
-LEX = NB + [LEXICON, VAL, VSUM, VADJ, VADER]
+LEX = NB + [LEXICON, *VAL, VSUM, VADJ, VADER]
 
 
 @sql("induce_lexicon")
@@ -449,29 +483,8 @@ def _():
 
 @sql("lexicon_context")
 def _():
-    rawctx = (f"rawctx AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS word FROM "
-              f"(SELECT doc_id, {TX.tokenize_sql(D, 'text')} AS t FROM sreviews WHERE split = 'test'))")
-    rstem = f"rstem AS ({stem_table('SELECT DISTINCT word AS w FROM rawctx')})"
-
-    def inlist(xs):
-        return "(" + ", ".join(D.lit(x) for x in xs) + ")"
-    lags = []
-    for i in (1, 2, 3):
-        p = f"lag(word, {i}) OVER (PARTITION BY doc_id ORDER BY pos)"
-        lags.append(p)
-    boost = " + ".join(
-        f"coalesce(CASE WHEN {p} IN {inlist(K.BOOSTERS_UP)} THEN {K.BOOST_INCREMENT} WHEN {p} IN {inlist(K.BOOSTERS_DOWN)} "
-        f"THEN {K.BOOST_DECREMENT} ELSE 0.0e0 END * {K.DISTANCE_DAMPING[i]}, 0.0e0)" for i, p in enumerate(lags))
-    negs = " + ".join(f"coalesce(CAST({p} IN {inlist(K.NEGATIONS)} AS INTEGER), 0)" for p in lags)
-    fb = f"min(CASE WHEN word = '{K.CONTRAST_WORD}' THEN pos END) OVER (PARTITION BY doc_id)"
-    ctxv = (f"ctxv AS (SELECT doc_id, pos, word, v0, ({boost}) AS boost, ({negs}) AS negc, {fb} AS fb FROM "
-            f"(SELECT r.doc_id, r.pos, r.word, coalesce(x.valence, 0.0e0) AS v0 FROM rawctx r JOIN rstem s ON r.word = s.o "
-            f"LEFT JOIN lexicon x ON s.stem = x.token))")
-    v = ("(CASE WHEN v0 > 0 THEN v0 + boost WHEN v0 < 0 THEN v0 - boost ELSE v0 END) "
-         f"* pow({K.NEGATION_SCALAR}, negc) * CASE WHEN fb IS NULL THEN 1.0e0 WHEN pos < fb THEN {K.BUT_BEFORE} "
-         f"WHEN pos > fb THEN {K.BUT_AFTER} ELSE 1.0e0 END")
-    return with_(*TOKBASE, NB_FREQS, NB_MODEL, LEXICON, rawctx, rstem, ctxv) + (
-        f"SELECT doc_id, pos::INTEGER AS pos, word, round({v}, 6) AS valence FROM ctxv WHERE round({v}, 6) <> 0")
+    return with_(*TOKBASE, NB_FREQS, NB_MODEL, LEXICON, *VAL) + (
+        "SELECT doc_id, pos::INTEGER AS pos, word, valence FROM val WHERE valence <> 0")
 
 
 @sql("prefix_columns")
@@ -532,11 +545,11 @@ def _():
 
 @sql("most_confident_wrong")
 def _():
-    bothsc = ("bothsc AS (SELECT v.doc_id, v.label, v.pos AS vader_pos, v.neg AS vader_neg, r.roberta_pos, r.roberta_neg "
+    bothsc = ("bothsc AS (SELECT v.doc_id, v.label, v.text, v.pos AS vader_pos, v.neg AS vader_neg, r.roberta_pos, r.roberta_neg "
             "FROM vader v JOIN roberta r ON v.doc_id = r.doc_id)")
     forms = [("vader_pos_label0", "vader_pos", 0), ("roberta_pos_label0", "roberta_pos", 0),
              ("vader_neg_label1", "vader_neg", 1), ("roberta_neg_label1", "roberta_neg", 1)]
-    parts = [f"(SELECT '{n}' AS form, doc_id, round({c}, 6) AS score FROM bothsc WHERE label = {lab} "
+    parts = [f"(SELECT '{n}' AS form, doc_id, round({c}, 6) AS score, text FROM bothsc WHERE label = {lab} "
              f"ORDER BY {c} DESC, doc_id LIMIT 1)" for n, c, lab in forms]
     return with_(*LEX, ROBERTA, bothsc) + " UNION ALL ".join(parts)
 
@@ -566,30 +579,48 @@ def _():
                          "ELSE 2 END)::INTEGER AS predicted_class FROM scores")
 
 
+BATCH = NB + [
+    f"bw AS (SELECT raw, count(*) AS n FROM rawtok WHERE split = 'train' GROUP BY raw ORDER BY n DESC, raw LIMIT {K.BATCH_WORDS})",
+    "bweights AS (SELECT b.raw AS word, m.loglikelihood AS w FROM bw b JOIN stems s ON b.raw = s.o JOIN model m ON s.stem = m.token)",
+    f"bwords AS (SELECT doc_id, label, regexp_extract_all(lower(coalesce(text, '')), {D.lit(TX.WORD_PATTERN)})[1:{K.TRUNCATE_TOKENS}] AS l FROM reviews)",
+    "bsum AS (SELECT t.doc_id, sum(x.w) AS w FROM (SELECT doc_id, unnest(l) AS word FROM bwords) t JOIN bweights x ON t.word = x.word GROUP BY t.doc_id)",
+    f"bs AS (SELECT r.doc_id, r.label, {K.BATCH_SCALE} * coalesce(b.w, 0.0e0) / sqrt(greatest(len(r.l), 1)) AS s FROM bwords r LEFT JOIN bsum b ON r.doc_id = b.doc_id)",
+    "bz AS (SELECT doc_id, label, s, exp(-s - abs(s)) AS en, exp(-abs(s)) AS eu, exp(s - abs(s)) AS ep FROM bs)",
+    "batch AS (SELECT doc_id, label, en / (en + eu + ep) AS neg, eu / (en + eu + ep) AS neu, ep / (en + eu + ep) AS pos, 2 * s AS compound FROM bz)"]
+BATCH_COLUMNS = ", ".join(f"round({k}, 6) AS roberta_{k}" for k in ("neg", "neu", "pos", "compound"))
+
+
+@sql("batch_score")
+def _():
+    return with_(*BATCH) + f"SELECT doc_id, label, {BATCH_COLUMNS} FROM batch"
+
+
+@sql("batch_score_safe")
+def _():
+    return with_(*BATCH) + f"SELECT doc_id, {BATCH_COLUMNS}, CAST(NULL AS VARCHAR) AS error FROM batch"
+
+
+@sql("pipeline_label")
+def _():
+    return with_(*BATCH) + ("SELECT doc_id, label, CASE WHEN pos / (pos + neg) > 0.5 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS verdict, "
+                            "round(greatest(pos / (pos + neg), 1 - pos / (pos + neg)), 6) AS confidence FROM batch")
+
+
 def _board_sql():
     def ev(name, src, pred):
         return (f"SELECT '{name}' AS model, round({ratio(f'count(*) FILTER (WHERE label = {pred})', 'count(*)')}, 6) AS accuracy, "
                 f"round({ratio(f'2 * count(*) FILTER (WHERE label = 1 AND {pred} = 1)', f'count(*) FILTER (WHERE label = 1) + count(*) FILTER (WHERE {pred} = 1)')}, 6) AS f1_score FROM {src}")
-    saved = " UNION ALL ".join(f"SELECT '{m}' AS model, {a}::DOUBLE AS accuracy, {f}::DOUBLE AS f1_score"
-                               for m, a, f in [("svm_randomized_search", 0.8881, 0.8905),
-                                               ("random_forest_randomized_search", 0.8567, 0.8609),
-                                               ("boosting_randomized_search", 0.8741, 0.8771)])
     return ("board AS (" + " UNION ALL ".join([
-        saved, ev("naive_bayes", "scores", "prediction"),
-        ev("lexicon", "vader", "CAST(compound > 0 AS INTEGER)"),
-        ev("log_odds", "roberta", "CAST(roberta_pos > roberta_neg AS INTEGER)")]) + ")")
+        ev("naive_bayes", "scores", "prediction"),
+        ev("lexicon", "(SELECT * FROM vader WHERE split = 'test')", "CAST(compound > 0 AS INTEGER)"),
+        ev("log_odds", "roberta", "CAST(roberta_pos > roberta_neg AS INTEGER)"),
+        ev("multinomial_nb", "(SELECT *, CAST(score > 0 AS INTEGER) AS prediction FROM t1_mscores)", "prediction"),
+        ev("multinomial_nb_grid", "t2_best", "prediction"), ev("multinomial_nb_logspace", "t3_best", "prediction")]) + ")")
 
 
-@sql("model_board")
-def _():
-    return with_(*LEX, ROBERTA, _board_sql()) + "SELECT model, accuracy, f1_score FROM board ORDER BY f1_score, model"
-
-
-@sql("melt_board")
-def _():
-    return with_(*LEX, ROBERTA, _board_sql()) + (
-        "SELECT model, 'accuracy' AS Metric, accuracy AS Score FROM board UNION ALL "
-        "SELECT model, 'f1_score', f1_score FROM board")
+def _board_ctes() -> list[str]:
+    return [*LEX, ROBERTA, FOLDS, MTF, *_named("t1", _mnb_sql(TEST_DOCS, [1.0], K.TFIDF_MAX_FEATURES)),
+            *_refit_sql("t2", K.MNB_ALPHA_GRID), *_refit_sql("t3", _log_alphas()), _board_sql()]
 
 
 # ---------------------------------------------------------------- 2.11 retrieval
@@ -646,12 +677,44 @@ def _():
         f"{K.EMBED_DIMS}::BIGINT AS dims FROM rchunks")
 
 
+EMB = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
 @sql("retrieve_top_k")
 def _():
-    e = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
     return (f"SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, c.vec_id, "
             f"{_cos('q.v', 'c.v')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_cos('q.v', 'c.v')} DESC, "
-            f"c.vec_id) AS rank FROM {e} q JOIN {e} c ON q.vec_id <> c.vec_id) WHERE rank <= {K.TOP_K}")
+            f"c.vec_id) AS rank FROM (SELECT * FROM {EMB} WHERE vec_id % 20 = 0) q JOIN {EMB} c ON q.vec_id <> c.vec_id) WHERE rank <= {K.TOP_K}")
+
+
+def _index_sql() -> list[str]:
+    """cellof: every vector's distance rank to the labels' normalised mean vectors."""
+    return [
+        f"uvec AS (SELECT vec_id, label, CASE WHEN list_inner_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) ELSE v END AS u FROM {EMB})",
+        "cmean AS (SELECT label AS cell, i, avg(x) AS x FROM (SELECT label, unnest(range(len(u))) AS i, unnest(u) AS x FROM uvec WHERE label IS NOT NULL) GROUP BY ALL)",
+        "cvec AS (SELECT cell, list(x ORDER BY i) AS m FROM cmean GROUP BY cell)",
+        "cent AS (SELECT cell, CASE WHEN list_inner_product(m, m) > 0 THEN list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) ELSE m END AS m FROM cvec)",
+        "cellof AS (SELECT vec_id, u, cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(u, m) DESC, cell) AS r FROM uvec CROSS JOIN cent)",
+    ]
+
+
+@sql("build_vector_index")
+def _():
+    return with_(*_index_sql()) + "SELECT vec_id, cell::INTEGER AS cell, len(u)::BIGINT AS dims FROM cellof WHERE r = 1"
+
+
+@sql("retrieve_top_k_approx")
+def _():
+    from ..operators.retrieval import PROBES
+    near = (f"near AS (SELECT q.vec_id AS query_id, c.vec_id, {_cos('q.u', 'c.u')} AS score FROM cellof q JOIN cellof c "
+            f"ON q.cell = c.cell AND c.r = 1 AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 AND q.r <= {PROBES})")
+    few = (f"few AS (SELECT vec_id FROM uvec WHERE vec_id % 20 = 0 AND vec_id NOT IN "
+           f"(SELECT query_id FROM near GROUP BY query_id HAVING count(*) >= {K.TOP_K}))")
+    cand = (f"cand AS (SELECT * FROM near WHERE query_id NOT IN (SELECT vec_id FROM few) UNION ALL SELECT q.vec_id, c.vec_id, {_cos('q.u', 'c.u')} "
+            f"FROM uvec q JOIN uvec c ON q.vec_id <> c.vec_id WHERE q.vec_id IN (SELECT vec_id FROM few))")
+    return with_(*_index_sql(), near, few, cand) + (
+        f"SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cand) WHERE rank <= {K.TOP_K}")
 
 
 HISTORY = ("hist AS (SELECT conv_id, turn, role, text, coalesce(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) "
@@ -796,6 +859,31 @@ def _():
         "SELECT doc_id, label, round(score, 6) AS score, CAST(score > 0 AS INTEGER) AS prediction FROM mscores")
 
 
+TEST_DOCS = "mdocs AS (SELECT 0 AS g, doc_id, label, CASE WHEN split = 'train' THEN 'fit' ELSE 'val' END AS role FROM sreviews)"
+MNB_NAMES = r"\b(mdocs|mrows|nfit|mstats|mvocab|midf|mw|mx|mfc|mtot|malpha|mdelta|msum|mscores|macc|mmean)\b"
+
+
+def _named(prefix: str, ctes: list[str]) -> list[str]:
+    """The same tables under names of their own, without the shared term counts."""
+    return [re.sub(MNB_NAMES, prefix + r"_\1", c) for c in ctes if c != MTF]
+
+
+def _log_alphas():
+    from ..operators.selection import log_spaced
+    return log_spaced(K.MNB_ALPHA_LOW, K.MNB_ALPHA_HIGH, K.MNB_LOG_DRAWS)
+
+
+MEAN = ["macc AS (SELECT g, alpha, avg(CAST(label = CAST(score > 0 AS INTEGER) AS DOUBLE)) AS acc FROM mscores GROUP BY g, alpha)",
+        "mmean AS (SELECT alpha, round(avg(acc), 9) AS mean_accuracy FROM macc GROUP BY alpha)"]
+
+
+def _refit_sql(prefix: str, alphas) -> list[str]:
+    """{prefix}_best: test scores of the best alpha of the search, fitted on all training rows."""
+    return [*_named(prefix + "c", [*_mnb_sql(CV_DOCS, alphas, None), *MEAN]), *_named(prefix, _mnb_sql(TEST_DOCS, sorted(set(alphas)), None)),
+            f"{prefix}_best AS (SELECT m.alpha, m.mean_accuracy, s.doc_id, s.label, CAST(s.score > 0 AS INTEGER) AS prediction FROM {prefix}_mscores s "
+            f"JOIN (SELECT * FROM {prefix}c_mmean ORDER BY mean_accuracy DESC, alpha LIMIT 1) m ON s.alpha = m.alpha)"]
+
+
 def _cv_sql(alphas):
     return with_(*TOKBASE, FOLDS, *_mnb_sql(CV_DOCS, alphas, None),
                  "macc AS (SELECT g, alpha, avg(CAST(label = CAST(score > 0 AS INTEGER) AS DOUBLE)) AS acc FROM mscores GROUP BY g, alpha)",
@@ -819,9 +907,23 @@ def _():
 
 @sql("best_candidate")
 def _():
-    return _cv_sql(K.MNB_ALPHA_GRID) + (
-        "SELECT round(alpha, 6) AS alpha, round(mean_accuracy, 6) AS mean_accuracy FROM mmean "
-        "ORDER BY mean_accuracy DESC, alpha LIMIT 1")
+    return with_(*TOKBASE, FOLDS, MTF, *_refit_sql("t2", K.MNB_ALPHA_GRID)) + (
+        "SELECT round(alpha, 6) AS alpha, round(mean_accuracy, 6) AS mean_accuracy, "
+        "round(avg(CAST(label = prediction AS DOUBLE)), 6) AS test_accuracy, "
+        f"round({ratio('2 * count(*) FILTER (WHERE label = 1 AND prediction = 1)', 'count(*) FILTER (WHERE label = 1) + count(*) FILTER (WHERE prediction = 1)')}, 6) AS test_f1 "
+        "FROM t2_best GROUP BY alpha, mean_accuracy")
+
+
+@sql("model_board")
+def _():
+    return with_(*_board_ctes()) + "SELECT model, accuracy, f1_score FROM board ORDER BY f1_score, model"
+
+
+@sql("melt_board")
+def _():
+    return with_(*_board_ctes()) + (
+        "SELECT model, 'accuracy' AS Metric, accuracy AS Score FROM board UNION ALL "
+        "SELECT model, 'f1_score', f1_score FROM board")
 
 
 @sql("candidate_table")

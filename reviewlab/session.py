@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "reviewlab", cpus: str | int = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -30,19 +29,20 @@ def get_spark(app: str = "reviewlab", cpus: str | int = "*", shuffle_partitions:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only where none is configured (local tests) a fresh local folder is set.
+    A local session (tests, the bench) that names none gets a fresh folder;
+    on a cluster that is an error, as executors don't share local folders.
     """
     sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     d = sc.getCheckpointDir()
     if d:
         return d
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir() or conf
-    local = tempfile.mkdtemp(prefix="reviewlab-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = tempfile.mkdtemp(prefix="reviewlab-ckpt-")
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir() or conf
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,11 +51,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/reviewlab/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def ensure_dir(path: str) -> str:
-    if path.startswith("file:") or path.startswith("/"):
-        os.makedirs(local_path(path), exist_ok=True)
-    return path
+def written(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame:
+    """df as Parquet below the checkpoint root, read back: columns are pruned and filters
+    pushed by its readers, and nothing is lost with an executor."""
+    path = scratch_path(df.sparkSession, name)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -44,17 +44,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scan_reviews(spark: SparkSession, sf_dir: str, label_col: str = "quality") -> DataFrame:
-    """Labelled reviews: documents joined to their label, keyed by doc_id.
-
-    The result is hash-partitioned by doc_id, so every later per-document
-    aggregate (token arrays, feature sums, scores) runs without another
-    exchange.
-    """
+def scan_reviews(spark: SparkSession, sf_dir: str, label_col: str = "quality", how: str = "inner") -> DataFrame:
+    """Documents joined to their label, keyed by doc_id; how='left' keeps
+    the unlabelled ones with a null label."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = load(spark, sf_dir, "labels").select("doc_id", F.col(label_col).alias("label"))
-    return (docs.join(labels, "doc_id")
-            .repartition(partitions(spark), "doc_id"))
+    return docs.join(labels, "doc_id", how)
 
 
 def split_expr(seed: int = K.SHUFFLE_SEED, buckets: int = K.TEST_BUCKETS) -> Column:
@@ -83,27 +78,51 @@ def concat_splits(*splits: DataFrame) -> DataFrame:
     return out
 
 
-def assign_row_id(df: DataFrame, order_col: str = "doc_id", id_col: str = "row_id") -> DataFrame:
-    """Dense 0-based row ids in key order without a single-partition window.
+BORDER_SAMPLE = 100     # values looked at per range when borders are chosen
+
+
+def range_number(df: DataFrame, col: str, ranges: int) -> Column:
+    """Number of the key range each value of col falls in (nulls in 0), never falling as the value rises.
 
-    Range-partition and sort by the key, count rows per partition, turn the
-    counts into offsets (one small aggregate, one row per partition), and
-    add the rank inside the partition.
+    The borders come from a bounded sample (the values with the smallest
+    hashes, BORDER_SAMPLE a range) collected once, so every reader of the
+    expression sees the same ones.
     """
-    parts = partitions(df.sparkSession)
-    ranged = (df.repartitionByRange(parts, order_col)
-              .sortWithinPartitions(order_col)
-              .withColumn("__part", F.spark_partition_id()))
-    w = Window.partitionBy("__part").orderBy(order_col)
-    local = ranged.withColumn("__local", F.row_number().over(w) - 1)
-    counts = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__part",
-        (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("__off"))
-    return (local.join(F.broadcast(offsets), "__part")   # one row per partition: bounded
-            .withColumn(id_col, (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local")).cast("bigint"))
-            .drop("__part", "__local", "__off"))
+    c = F.col(col)
+    sample = (df.select(c).where(c.isNotNull()).orderBy(F.xxhash64(c)).limit(BORDER_SAMPLE * ranges)
+              .orderBy(c).collect())
+    step = max(1, len(sample) // ranges)
+    borders = [r[0] for r in sample[step::step]]
+    if not borders:
+        return F.lit(0)
+    limits = F.array(*[F.lit(b).cast(df.schema[col].dataType) for b in borders])
+    return F.when(c.isNull(), F.lit(0)).otherwise(F.size(F.filter(limits, lambda b: b <= c)))
+
+
+def dense_rank_by(df: DataFrame, part: Column, group_cols, order_cols, out: str) -> DataFrame:
+    """0-based row number inside each group in the order of order_cols.
+
+    part numbers the rows' ranges and is a function of the row alone, so the
+    rows and the counts per range, which become the ranges' offsets, agree
+    whatever plan each of them gets.  No task holds more than one range.
+    """
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    keyed = df.withColumn("__part", part)
+    # the rank inside a range: ties in all order columns are told apart once, by the window
+    local = keyed.withColumn("__local", F.row_number().over(Window.partitionBy("__part", *group_cols).orderBy(*order_cols)) - 1)
+    counts = keyed.groupBy("__part", *group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    before = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g_{g}") for g in group_cols],
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    on = [F.col("__part") == F.col("__p")] + [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group_cols]
+    joined = local.join(offsets, on)
+    return (joined.withColumn(out, (F.col("__off") + F.col("__local")).cast("bigint"))
+            .drop("__part", "__local", "__off", "__p", *[f"__g_{g}" for g in group_cols]))
+
+
+def assign_row_id(df: DataFrame, order_col: str = "doc_id", id_col: str = "row_id") -> DataFrame:
+    """Dense 0-based row ids in key order (nulls first) without a single-partition window."""
+    return dense_rank_by(df, range_number(df, order_col, partitions(df.sparkSession)), [], [order_col], id_col)
 
 
 def preview_rows(df: DataFrame, n: int = 5, order_col: str = "doc_id") -> DataFrame:

@@ -25,18 +25,24 @@ def _run(stream: DataFrame, handle, workdir: str) -> None:
     q.awaitTermination()
 
 
-def land_files(df: DataFrame, path: str, files: int = 4) -> None:
-    """Write rows as a handful of parquet files: the arriving input."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def land_files(df: DataFrame, path: str) -> None:
+    """Write rows as parquet files, one per partition: the arriving input."""
+    df.write.mode("overwrite").parquet(path)
 
 
-def stream_score(spark: SparkSession, reviews: DataFrame | None, model: DataFrame, files_per_batch: int = 1,
-                 workdir: str | None = None, source_path: str | None = None) -> DataFrame:
+def _source(spark: SparkSession, schema: str, path: str, files_per_batch: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
+
+
+def stream_score(spark: SparkSession, reviews: DataFrame | None, model: DataFrame, files_per_batch: int | None = None,
+                 workdir: str | None = None, source_path: str | None = None, stems: DataFrame | None = None) -> DataFrame:
     """Score arriving reviews with a trained Naive Bayes table.
 
     The stream reads parquet files (doc_id, label, text) from
     ``source_path``; when none is given, ``reviews`` is landed as files
-    first.  model: (token, loglikelihood, logprior).  Returns the sink:
+    first.  model: (token, loglikelihood, logprior); stems: a written table
+    (word, stem), so that each epoch stems new words only.  Returns the sink:
     (doc_id, label, score, prediction), equal to the batch ``nb_predict``
     of the same rows.
     """
@@ -46,13 +52,13 @@ def stream_score(spark: SparkSession, reviews: DataFrame | None, model: DataFram
         land_files(reviews.select("doc_id", "label", "text"), src)
     model.select("token", "loglikelihood", "logprior").write.mode("overwrite").parquet(weights_path)
     weights = spark.read.parquet(weights_path)
-    stream = (spark.readStream.schema("doc_id bigint, label int, text string")
-              .option("maxFilesPerTrigger", files_per_batch).parquet(src))
+    prior = weights.agg(F.max("logprior").alias("logprior"))
+    stream = _source(spark, "doc_id bigint, label int, text string", src, files_per_batch)
 
     def handle(batch: DataFrame, epoch: int) -> None:
         docs = batch.select("doc_id", "label", "text")
-        toks = TXT.corpus_tokens(docs, "text", keep=("doc_id",))
-        scored = NB.nb_predict(docs.select("doc_id", "label"), toks, weights)
+        toks = TXT.corpus_tokens(docs, "text", keep=("doc_id",), stems=stems)
+        scored = NB.nb_predict(docs.select("doc_id", "label"), toks, weights, prior=prior)
         scored.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     _run(stream, handle, workdir)
@@ -60,7 +66,7 @@ def stream_score(spark: SparkSession, reviews: DataFrame | None, model: DataFram
 
 
 def stream_retrieve(spark: SparkSession, questions: DataFrame | None, chunk_vectors: DataFrame, k: int = 3,
-                    files_per_batch: int = 1, workdir: str | None = None, source_path: str | None = None,
+                    files_per_batch: int | None = None, workdir: str | None = None, source_path: str | None = None,
                     query_type: str = "bigint") -> DataFrame:
     """Answer arriving questions (query_id, question) with their top-k
     chunks from a static vector table (doc_id, chunk_no, embedding).
@@ -72,8 +78,7 @@ def stream_retrieve(spark: SparkSession, questions: DataFrame | None, chunk_vect
         land_files(questions.select("query_id", "question"), src)
     chunk_vectors.select("doc_id", "chunk_no", "embedding").write.mode("overwrite").parquet(vec_path)
     vectors = spark.read.parquet(vec_path)
-    stream = (spark.readStream.schema(f"query_id {q_type}, question string")
-              .option("maxFilesPerTrigger", files_per_batch).parquet(src))
+    stream = _source(spark, f"query_id {q_type}, question string", src, files_per_batch)
 
     def handle(batch: DataFrame, epoch: int) -> None:
         qv = RT.embed(batch, "question")

@@ -46,11 +46,16 @@ def test_one_class_training_prior_is_infinite(spark):
     assert m["logprior"] == float("inf")
 
 
-def test_approx_top_k_is_subset_of_candidates(spark):
+def test_approx_top_k_recall_and_whole_results(spark, tmp_path):
     e = S.load(spark, SF, "embeddings")
-    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
-    approx = RT.top_k_approx(q, e, 3, "query_id", "vec_id", "embedding").collect()
-    exact = {(r["query_id"], r["vec_id"]) for r in RT.top_k_self(e, "vec_id", "embedding", 3).collect()}
-    hits = sum((r["query_id"], r["vec_id"]) in exact for r in approx)
-    assert approx and all(r["rank"] <= 3 for r in approx)
-    assert hits / len(approx) > 0.3          # recall of the bucketed search against the exact one
+    index, cells = RT.build_index(e, str(tmp_path / "index"))
+    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r["query_id"], r["vec_id"]) for r in RT.top_k_self(e, e.where("vec_id % 5 = 0")).collect()}
+    found = RT.top_k_approx(q, index, cells).collect()
+    assert len(found) == 3 * q.count() == len({(r["query_id"], r["rank"]) for r in found})
+    recall = sum((r["query_id"], r["vec_id"]) in exact for r in found) / len(exact)
+    assert recall >= 0.9
+    tiny = e.orderBy("vec_id").limit(5)
+    index, cells = RT.build_index(tiny, str(tmp_path / "tiny"))
+    few = RT.top_k_approx(tiny.select(F.col("vec_id").alias("query_id"), "embedding"), index, cells, probes=1).collect()
+    assert len(few) == 15        # questions whose cells hold too few are answered from the whole index

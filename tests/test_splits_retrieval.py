@@ -18,12 +18,31 @@ def test_folds_disjoint_and_stratified(spark):
         assert max(sizes) - min(sizes) <= 1
 
 
-def test_rank_within_is_dense(spark):
-    df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
-    r = SP.rank_within(df, ["label"], ["doc_id"], "rank").collect()
-    for lab in (0, 1):
-        ranks = sorted(x["rank"] for x in r if x["label"] == lab)
-        assert ranks == list(range(len(ranks)))
+def test_ranks_and_ids_are_dense_on_many_rows(spark):
+    """With a payload column and a small range sample, as both branches must agree on the ranges."""
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")
+    try:
+        n = 500_000
+        df = (spark.range(n, numPartitions=16).select((F.col("id") * 7 - 1000).alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+              .withColumn("payload", F.md5(F.col("doc_id").cast("string"))))
+        ids = S.assign_row_id(df, "doc_id", "row_id")
+        assert ids.agg(F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first()[:] == (n, 0, n - 1)
+        assert ids.where(F.col("doc_id") != F.col("row_id") * 7 - 1000).count() == 0
+        folds = SP.stratified_folds(df).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
+        for lab in (0, 1):
+            sizes = [r["n"] for r in folds if r["label"] == lab]
+            assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+        ranks = SP.rank_within(df.withColumn("d", SP.draw("x")), ["label"], "d", ["doc_id"], "r")
+        for r in ranks.groupBy("label").agg(F.count_distinct("r").alias("k"), F.max("r").alias("m"), F.count(F.lit(1)).alias("n")).collect():
+            assert r["k"] == r["n"] == r["m"] + 1
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+
+
+def test_row_ids_of_strings_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("ü",), ("z",)], "k string")
+    assert {r["k"]: r["row_id"] for r in S.assign_row_id(df, "k").collect()} == {None: 0, "a": 1, "b": 2, "z": 3, "ü": 4}
+    assert S.assign_row_id(df.where("k = 'none'"), "k").count() == 0
 
 
 def test_chunks_rebuild_text(spark):
@@ -46,9 +65,12 @@ def test_softmax_sums_to_one(spark):
         assert abs(sum(r["p"]) - 1.0) < 1e-12
 
 
-def test_blocked_top_k_equals_brute_force(spark):
-    e = S.load(spark, SF, "embeddings")
-    got = RT.top_k_self(e, "vec_id", "embedding", 3, q_block=64, c_block=100).collect()
+def test_blocked_top_k_equals_brute_force(spark, monkeypatch):
+    e = S.load(spark, SF, "embeddings").repartition(3)
+    monkeypatch.setattr(RT, "QUESTION_BLOCK", 64)
+    monkeypatch.setattr(RT, "CHUNK_BLOCK", 50)
+    monkeypatch.setattr(RT, "QUESTIONS_AT_ONCE", 200)
+    got = RT.top_k_self(e).collect()
     rows = e.orderBy("vec_id").collect()
     ids = np.array([r["vec_id"] for r in rows])
     X = np.array([r["embedding"] for r in rows], dtype=np.float64)
