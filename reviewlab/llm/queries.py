@@ -18,6 +18,21 @@ def query(fn):
     return fn
 
 
+ORACLE["op7_embedding_dedup"] = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM reach r JOIN pair p ON r.id = p.a),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a AS id, count(*) AS n FROM pair GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.component_id, l.component_id = e.vec_id AS kept
+FROM embeddings e JOIN least l ON e.vec_id = l.id LEFT JOIN degree d ON e.vec_id = d.id"""
+
+
 @query
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
