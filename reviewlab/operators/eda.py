@@ -96,3 +96,16 @@ def pair_correlations(df: DataFrame, cols, label_col: str = "label") -> DataFram
     long = agg.unpivot([label_col], [f"{a}__{b}" for a, b in pairs], "pair", "corr")
     return long.select(label_col, F.split("pair", "__")[0].alias("var_x"), F.split("pair", "__")[1].alias("var_y"),
                        F.round("corr", 6).alias("corr"))
+
+
+def pair_grid(df: DataFrame, cols, label_col: str = "label", bins: int = 10) -> DataFrame:
+    """Data of a pair plot of scores in [0, 1]: per label and pair of columns the counts of the
+    cells of a bins x bins grid with the pair's correlation, and for a column with itself its
+    histogram.  (label, var_x, var_y, bin_x, bin_y, n, corr); empty cells are not listed."""
+    def cell(c):
+        return F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int")
+    pairs = F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), cell(a).alias("bin_x"), cell(b).alias("bin_y"))
+                      for i, a in enumerate(cols) for b in cols[i:]])
+    counts = (df.select(label_col, F.explode(pairs).alias("p")).select(label_col, "p.*")
+              .groupBy(label_col, "var_x", "var_y", "bin_x", "bin_y").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+    return counts.join(pair_correlations(df, cols, label_col), [label_col, "var_x", "var_y"], "left")

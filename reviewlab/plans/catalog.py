@@ -406,7 +406,7 @@ def q_score_pair_grid(spark, sf):
     c = ctx(spark, sf)
     v = _vader(c).select("doc_id", "label", *[F.col(k).alias("vader_" + k) for k in ("neg", "neu", "pos")])
     both = v.join(_roberta(c).drop("label"), "doc_id")
-    return E.pair_correlations(both, ["vader_neg", "vader_neu", "vader_pos", "roberta_neg", "roberta_neu", "roberta_pos"])
+    return E.pair_grid(both, ["vader_neg", "vader_neu", "vader_pos", "roberta_neg", "roberta_neu", "roberta_pos"])
 
 
 @query
@@ -558,8 +558,8 @@ def q_chunk_documents(spark, sf):
 
 @query
 def q_chunk_documents_recursive(spark, sf):
-    docs = ctx(spark, sf).table("documents").select("doc_id", "text")
-    return RT.chunk_documents_recursive(docs, "doc_id", "text")
+    docs = ctx(spark, sf).table("documents")
+    return RT.chunk_documents_recursive(docs, "doc_id", "text", carry=("lang", "source"))
 
 
 @query

@@ -518,9 +518,17 @@ def _():
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     src = ("(SELECT v.label, v.neg AS vader_neg, v.neu AS vader_neu, v.pos AS vader_pos, r.roberta_neg, r.roberta_neu, "
            "r.roberta_pos FROM vader v JOIN roberta r ON v.doc_id = r.doc_id)")
-    parts = [f"SELECT label, '{a}' AS var_x, '{b}' AS var_y, round(corr({a}, {b}), 6) AS corr FROM {src} GROUP BY label"
-             for a, b in pairs]
-    return with_(*LEX, ROBERTA) + " UNION ALL ".join(parts)
+    corrs = " UNION ALL ".join(f"SELECT label, '{a}' AS var_x, '{b}' AS var_y, round(corr({a}, {b}), 6) AS corr FROM pgsrc GROUP BY label"
+                               for a, b in pairs)
+
+    def cell(c):
+        return f"least(floor({c} * 10), 9)::INTEGER"
+    cells_ = " UNION ALL ".join(
+        f"SELECT label, '{a}' AS var_x, '{b}' AS var_y, {cell(a)} AS bin_x, {cell(b)} AS bin_y, count(*)::BIGINT AS n FROM pgsrc GROUP BY ALL"
+        for i, a in enumerate(cols) for b in cols[i:])
+    return with_(*LEX, ROBERTA, f"pgsrc AS (SELECT * FROM {src})", f"pgcorr AS ({corrs})", f"pgcell AS ({cells_})") + (
+        "SELECT c.label, c.var_x, c.var_y, c.bin_x, c.bin_y, c.n, r.corr FROM pgcell c LEFT JOIN pgcorr r "
+        "ON c.label = r.label AND c.var_x = r.var_x AND c.var_y = r.var_y")
 
 
 @sql("join_scores_left")

@@ -126,3 +126,41 @@ def test_candidate_draws_stay_in_range(spark):
                for r in rows)
     again = draw_candidates(spark, 50, space, 42).collect()
     assert [tuple(r) for r in rows] == [tuple(r) for r in again]
+
+
+def slow_chunks(text, size=60, overlap=15):
+    """The chunking rule in plain Python."""
+    def split(t, seps):
+        if len(t) <= size:
+            return [t]
+        if not seps:
+            return [t[i:i + size] for i in range(0, len(t), size)]
+        parts = t.split(seps[0])
+        out = []
+        for i, p in enumerate(parts):
+            p += seps[0] if i < len(parts) - 1 else ""
+            out += split(p, seps[1:]) if len(p) > size else [p] if p else []
+        return out
+    chunks, cur = [], []
+    for piece in split(text, ["\n\n", "\n", " "]):
+        if cur and sum(map(len, cur)) + len(piece) > size:
+            chunks.append("".join(cur).strip())
+            tail = []
+            for q in reversed(cur):
+                if sum(map(len, tail)) + len(q) > overlap or sum(map(len, tail)) + len(q) + len(piece) > size:
+                    break
+                tail.insert(0, q)
+            cur = tail
+        cur.append(piece)
+    return [c for c in [*chunks, "".join(cur).strip()] if c]
+
+
+def test_recursive_chunks_by_the_plain_rule(spark):
+    texts = ["", " ", "short", "one two three " * 20, "para one is here\n\npara two\nwith a line\n\n" * 6, "x" * 200, "word " + "y" * 130 + " end\n" * 3,
+             "\n\n\n\n", "a\n" * 90]
+    docs = spark.createDataFrame([(i, t, "m%d" % i) for i, t in enumerate(texts)] + [(99, None, "m")], "doc_id long, text string, meta string")
+    got = {}
+    for r in RT.chunk_documents_recursive(docs, size=60, overlap=15, carry=("meta",)).orderBy("doc_id", "chunk_no").collect():
+        assert r["meta"] == "m%d" % r["doc_id"]
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got == {i: slow_chunks(t) for i, t in enumerate(texts) if slow_chunks(t)}
