@@ -101,14 +101,19 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fit on the labelled documents that aren't held out.  Repeated labels of a key count once
-    (the smallest); null keys and labels are ignored."""
+def with_stats(docs: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
+    """docs with the array of its texts' statistics; null texts count as empty."""
+    return docs.withColumn(out, stats_of(docs[text]))
+
+
+def train(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stats: str = "stats", label: str = "quality") -> Model:
+    """Fit on the labelled rows (key, stats) that aren't held out.  Repeated labels of a key count
+    once (the smallest); null keys and labels are ignored."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("label"))
-    rows = docs.where(~held_out(docs[key])).select(docs[key].alias("__key"), docs[text].alias("__text")).join(known, "__key")
-    return fit(rows.select(stats_of(F.col("__text")).alias("stats"), "label"))
+    held = rows.where(~held_out(rows[key])).select(rows[key].alias("__key"), rows[stats].alias("stats"))
+    return fit(held.join(known, "__key"))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:
-    """docs with the probability `out` of label 1, one row per input row; null texts count as empty."""
-    return docs.withColumn(out, score_of(stats_of(docs[text]), model))
+def scored(rows: DataFrame, model: Model, stats: str = "stats", out: str = "quality_score") -> DataFrame:
+    """rows with the probability `out` of label 1 in place of the statistics, one row per input row."""
+    return rows.withColumn(out, score_of(rows[stats], model)).drop(stats)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, hnsw, katz, langid, lines, packing, passages, quality, simhash, sketch
-from .store import table
+from .store import table, written
 from .tokens import vocabulary_path
 
 QUERIES: dict = {}
@@ -74,8 +74,8 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    found = quality.scored(docs, model, out="score")
+    stats = written(quality.with_stats(docs).drop("text"), "quality-stats")
+    found = quality.scored(stats, quality.train(stats, table(spark, sf_dir, "labels")), out="score")
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

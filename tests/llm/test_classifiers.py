@@ -32,9 +32,10 @@ def test_quality_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumnRenamed("score", "stats")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 1), (None, 0)], "doc_id long, quality int")
     for some in (labels, labels.where("quality = 1"), labels.where("doc_id < 0")):
-        got = quality.scored(docs, quality.train(docs, some)).collect()
+        got = quality.scored(quality.with_stats(docs, out="x"), quality.train(quality.with_stats(docs, out="x"), some, stats="x"), "x").collect()
         assert len(got) == len(rows) and all(0 <= r.quality_score <= 1 for r in got)
-    assert quality.scored(docs.where("doc_id < 0"), quality.train(docs, labels)).count() == 0
+    none = quality.with_stats(docs.where("doc_id < 0"), out="x")
+    assert quality.scored(none, quality.train(none, labels, stats="x"), "x").count() == 0
     assert all(len(quality.statistics(x)) == quality.N_STATS and np.isfinite(quality.statistics(x)).all() for x in (b"", b" ", b"\n", b"a", "é 漢".encode()))
 
 
