@@ -853,7 +853,7 @@ def q_search_holdout(spark, sf):
     dims = _dims(d)
 
     def svm(C):
-        return lambda n: CL.LinearSVC(labelCol="label", featuresCol="features", maxIter=100, regParam=1.0 / (C * n))
+        return lambda n: CL.LinearSVC(labelCol="label", featuresCol="features", maxIter=100, tol=CL.SVM_TOL, regParam=1.0 / (C * n))
 
     def forest(r):
         rf = CL.RandomForestClassifier(labelCol="label", featuresCol="features", seed=K.SEARCH_SEED)
