@@ -19,7 +19,7 @@ from .store import partitions
 from .tokens import pieces_of, words_of
 
 #: Characters of text in a block of documents, a block's share of a task's memory.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 5 << 20
 
 
 @lru_cache
@@ -114,8 +114,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         lists = [unpacked(x)[0] for x in asked["words"]]
         distinct = sorted(set().union(*lists))
         ids = {}
-        for i in range(0, len(distinct), 5_000):
-            some = distinct[i:i + 5_000]
+        for i in range(0, len(distinct), 2_000):
+            some = distinct[i:i + 2_000]
             for w, e in zip(some, tokenizer(path).encode_batch([plain(w) for w in some], add_special_tokens=False)):
                 ids[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -133,6 +133,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 sizes.append(len(words))
             at = np.concatenate(places)
             listed = list(numbers)
+            del numbers, places
             ordered, part, check = shared_out(listed, parts)
             # frequent words get small numbers, which compress well
             often = np.argsort(-np.bincount(at, minlength=len(listed)), kind="stable")
