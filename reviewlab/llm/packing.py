@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Ids held back by each task to fill what its last open windows lack.
+#: A task holds back the ids that its open windows lack, to fill them at the end, but no more than these and a document.
 RESERVE = 1 << 19
 #: Sequences a task may number; its own number stands above these bits.
 SEQUENCE_BITS = 40
@@ -55,6 +55,10 @@ class Packer:
 
     def __init__(self, size: int, first: int):
         self.size, self.next, self.levels, self.rows, self.held, self.kept = size, first, Levels(size), [], deque(), 0
+        self.lack, self.level = 0, None  # ids that the open windows lack; where the first held document's rest goes
+
+    def lacking(self, level: int) -> int:
+        return self.size - level if level & (level - 1) else 0  # powers of two need no padding
 
     def window(self) -> int:
         self.next += 1
@@ -67,17 +71,23 @@ class Packer:
     def add(self, key, ids: bytes) -> None:
         self.held.append((key, memoryview(ids), len(ids) // 4))
         self.kept += len(ids) // 4
-        while self.kept - self.held[0][2] >= RESERVE:
-            self.settle(self.held.popleft())
-
-    def settle(self, doc) -> None:
+        while self.held:
+            total, rest = self.held[0][2], self.held[0][2] % self.size
+            if self.level is None:
+                self.level = self.levels.place(rest) if rest else 0
+            lack = self.lack - self.lacking(self.level) + self.lacking((self.level + rest) % self.size)
+            if self.kept - total < min(lack, RESERVE):
+                break
+            self.settle(self.held.popleft(), self.level)
+            self.lack, self.level = lack, None
+
+    def settle(self, doc, level: int) -> None:
         total = doc[2]
         self.kept -= total
         full = total - total % self.size
         for start in range(0, full, self.size):
             self.piece(doc, start, self.size, self.window(), 0)
         if rest := total - full:
-            level = self.levels.place(rest)
             window = self.levels.take(level) if level else self.window()
             self.piece(doc, full, rest, window, level)
             self.levels.put(level + rest, window)
@@ -109,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     A document is its ids and then end_id (null text counts as empty: end_id
     alone).  Each input partition is packed on its own, so nothing is shuffled
-    and memory is bounded by RESERVE ids and one Arrow batch; sequence ids hold
+    and memory is bounded by RESERVE ids, one document and one Arrow batch; sequence ids hold
     the partition's number.  Rows with a null or repeated key are packed like
     any other; an empty table gives no rows.  `size` must be a power of two.
     """

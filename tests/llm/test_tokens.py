@@ -102,6 +102,22 @@ def test_packing_small_windows(spark, monkeypatch):
     assert packing.pack(docs.where("doc_id < 0"), PATH).count() == 0
 
 
+def test_small_tasks_keep_documents_whole():
+    rnd = np.random.default_rng(1)
+    for low, high, n in ((100, 300, 200), (200, 900, 100), (20, 1500, 400)):
+        packer = packing.Packer(1024, 0)
+        for i in range(n):
+            packer.add(i, np.zeros(rnd.integers(low, high), "<u4").tobytes())
+        packer.finish()
+        whole, short, filled = set(), set(), defaultdict(int)
+        for key, _, length, _, total, window, _ in packer.rows:
+            filled[window] += length
+            short |= {key} if total < 1024 else set()
+            whole |= {key} if total < 1024 and length == total else set()
+        assert len(whole) >= 0.85 * len(short)
+        assert all(x == 1024 or not x & (x - 1) for x in filled.values())
+
+
 def test_queries_on_the_table(spark):
     sf = "/root/testdata/sf0.001"
     texts = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
