@@ -19,8 +19,8 @@ LINKS = 12
 BUILD_BEAM, BEAM = 48, 48
 #: Nodes that a search opens at a time, and nodes inserted or queried together.
 OPENED, TOGETHER = 4, 256
-#: Queries of each audit and the share of true links they must find.
-AUDITED, RECALL = 128, 0.99
+#: Queries audited at a time, the links that an audit must see and the share of them it must find.
+AUDITED, ENOUGH, RECALL = 128, 500, 0.99
 #: Beams double up to this width; wider searches compare with the whole shard.
 WIDEST = 256
 
@@ -198,11 +198,24 @@ class Search:
             left, beam = left[full], beam * 2
         return np.concatenate(queries or [np.zeros(0, int)]), np.concatenate(nodes or [np.zeros(0, int)])
 
-    def audit(self, q: np.ndarray) -> None:
-        """Widen until the links of AUDITED queries, spread evenly, are found."""
-        some = q[np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(int))] if len(q) else q
-        true = len(self.whole(some)[0])
-        while self.beam <= WIDEST and len(self.links(some)[0]) < RECALL * true:
+    def audit(self, q: np.ndarray, within: bool = False) -> None:
+        """Widen until the links of audited queries are found.  AUDITED queries at a time, in random
+        order, are compared with the whole shard until ENOUGH links are seen; if a quarter of the
+        queries have fewer, all are compared.  Within the shard (the queries are its
+        vectors) a vector's match with itself is no link."""
+        order, at, true = np.random.default_rng(0).permutation(len(q)), 0, 0
+
+        def counted(found: tuple, own: np.ndarray) -> int:
+            return int((own[found[0]] != found[1]).sum()) if within else len(found[0])
+
+        while true < ENOUGH and at < max(len(q) // 4, min(len(q), AUDITED)):
+            own = order[at:at + AUDITED]
+            true += counted(self.whole(q[own]), own)
+            at += len(own)
+        own = order[:at]
+        if true < ENOUGH:
+            self.beam = 2 * WIDEST
+        while self.beam <= WIDEST and counted(self.links(q[own]), own) < RECALL * true:
             self.beam *= 2
 
 
@@ -265,7 +278,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         within = k[2] == k[3]
         search = Search(Graph(x, layers), x, threshold)
         qids, qn, q = (ids, n, x) if within else opened(theirs["graph"].iloc[0], k[1])[:3]
-        search.audit(q)
+        search.audit(q, within)
         every = np.concatenate([ids] if within else [ids, qids])
         order = np.argsort(every, kind="stable")  # the smallest id of a set is its root
         rank = np.empty(len(every), np.int64)

@@ -48,6 +48,33 @@ def test_search_widens_to_all_links():
     assert len(i) >= 0.99 * true and len(i) <= true
 
 
+@pytest.mark.parametrize("within", [True, False])
+def test_audit_of_few_links(within):
+    rnd = np.random.default_rng(7)
+    x = H.unit(rnd.normal(size=(3000, 16)))
+    q = x.copy() if within else H.unit(rnd.normal(size=(3000, 16)))
+    pairs = rnd.permutation(3000)[:40].reshape(-1, 2)
+    for a, b in pairs:
+        q[b] = x[a] + 0.01 * rnd.normal(size=16)
+        if within:
+            x[b] = q[b] = H.unit(q[b:b + 1])[0]
+    q = H.unit(q)
+
+    class Blind:
+        """Meets no vector but the query itself."""
+        def nearest(self, some, beam):
+            ids, sims = np.full((len(some), beam), -1), np.full((len(some), beam), -2.0)
+            if within:
+                ids[:, 0], sims[:, 0] = (some @ x.T.astype(np.float32)).argmax(axis=1), 1
+            return ids, sims
+
+    s = H.Search(Blind(), x, 0.97)
+    s.audit(q, *[True] * within)
+    i, j = s.links(q)
+    found = set(zip(i.tolist(), j.tolist()))
+    assert all((b, a) in found for a, b in pairs.tolist())
+
+
 @pytest.mark.parametrize("shard", [16_384, 60])
 def test_rows_and_shards(spark, monkeypatch, shard):
     monkeypatch.setattr(H, "SHARD", shard)
