@@ -59,3 +59,14 @@ def test_approx_top_k_recall_and_whole_results(spark, tmp_path):
     index, cells = RT.build_index(tiny, str(tmp_path / "tiny"))
     few = RT.top_k_approx(tiny.select(F.col("vec_id").alias("query_id"), "embedding"), index, cells, probes=1).collect()
     assert len(few) == 15        # questions whose cells hold too few are answered from the whole index
+
+
+def test_approx_top_k_recall_with_many_cells(spark, tmp_path):
+    import numpy as np
+    x = np.random.default_rng(4).normal(size=(600, 16))
+    e = spark.createDataFrame([(i, v.tolist(), i % 24) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    index, cells = RT.build_index(e, str(tmp_path / "many"))
+    asked = e.where("vec_id % 10 = 0")
+    exact = {(r["query_id"], r["vec_id"]) for r in RT.top_k_self(e, asked).collect()}
+    found = RT.top_k_approx(asked.select(F.col("vec_id").alias("query_id"), "embedding"), index, cells).collect()
+    assert sum((r["query_id"], r["vec_id"]) in exact for r in found) >= 0.9 * len(exact)
