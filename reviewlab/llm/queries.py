@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, katz, langid, lines, packing, passages, quality, simhash, sketch
+from . import bpe, dialogue, hnsw, katz, langid, lines, oracle, packing, passages, quality, simhash, sketch
 from .store import table, written
 from .tokens import vocabulary_path
 
@@ -33,6 +33,15 @@ SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.component_id, l.
 FROM embeddings e JOIN least l ON e.vec_id = l.id LEFT JOIN degree d ON e.vec_id = d.id"""
 
 
+ORACLE["op11_conversation_repair"] = oracle.CONVERSATION_REPAIR
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, present = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.repair(rows, present=present)
+
+
 @query
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
