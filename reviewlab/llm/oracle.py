@@ -58,3 +58,21 @@ ended AS (
   FROM way w LEFT JOIN faults f ON w.conv_id IS NOT DISTINCT FROM f.conv_id WHERE w.n = coalesce(f.n, 0))
 SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate, CAST(truncated AS BIGINT) AS truncated,
        CAST(illegal AS BIGINT) AS illegal, best.c AS cost, best.w AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256 FROM ended"""
+
+
+DECONTAMINATION = r"""
+WITH item AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+short AS (SELECT item, w, least(10, len(w)) AS n FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM short, unnest(range(1, len(w) - n + 2)) AS t(i)),
+doc AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM short),
+seen AS (SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM doc, lengths, unnest(range(1, len(w) - n + 2)) AS t(i)),
+known AS (SELECT DISTINCT n, win FROM win),
+hit AS (SELECT s.row, s.i, s.n, s.win FROM seen s JOIN known k ON s.n = k.n AND s.win = k.win),
+covered AS (SELECT row, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(p) GROUP BY row),
+held AS (SELECT row, list_sort(list(DISTINCT item)) AS items FROM (SELECT DISTINCT row, n, win FROM hit) h JOIN win USING (n, win) GROUP BY row)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(h.items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(h.items, ','), '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN covered c USING (row) LEFT JOIN held h USING (row)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dialogue, hnsw, katz, langid, lines, oracle, packing, passages, quality, simhash, sketch
+from . import bpe, dialogue, hnsw, katz, langid, lines, oracle, packing, passages, quality, simhash, sketch, winnow
 from .store import table, written
 from .tokens import vocabulary_path
 
@@ -42,6 +42,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(rows, present=present)
 
 
+ORACLE["op13_decontamination"] = oracle.DECONTAMINATION
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
