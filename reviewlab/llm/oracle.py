@@ -76,3 +76,21 @@ held AS (SELECT row, list_sort(list(DISTINCT item)) AS items FROM (SELECT DISTIN
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(h.items), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(h.items, ','), '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN covered c USING (row) LEFT JOIN held h USING (row)"""
+
+
+HARD_NEGATIVES = """
+WITH vec AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.id AS anchor_id, a.v AS av, b.id, b.v AS bv, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM vec a JOIN vec b ON len(a.v) = len(b.v) AND NOT (a.id = b.id AND a.label = b.label AND a.v = b.v) WHERE a.id % 100 = 0),
+scored AS (SELECT anchor_id, av, id, bv, same, coalesce(score, 0) AS score FROM pair),
+positive AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, av ORDER BY score DESC, id) AS nth FROM scored WHERE same) WHERE nth <= 5),
+negative AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.av, p.nth ORDER BY n.score DESC, n.id) AS rank
+  FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND n.av = p.av AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10"""

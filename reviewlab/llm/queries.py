@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dialogue, hnsw, katz, langid, lines, oracle, packing, passages, quality, simhash, sketch, winnow
+from . import bpe, dialogue, hnsw, katz, langid, lines, negatives, oracle, packing, passages, quality, simhash, sketch, winnow
 from .store import table, written
 from .tokens import vocabulary_path
 
@@ -52,6 +52,16 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+ORACLE["op12_hard_negatives"] = oracle.HARD_NEGATIVES
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 @query
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
