@@ -753,12 +753,6 @@ def q_candidate_table(spark, sf):
 from ..operators import classifiers as CL  # noqa: E402
 from ..streaming import jobs as ST  # noqa: E402
 
-# Random forests and boosting: candidates tried by the registered searches.  The engine fits a
-# tree level per job, so the published 50 draws of up to 500 trees take hours even on few
-# rows; every candidate is drawn from the full space and fitted in full.
-TREE_DRAWS = 2
-
-
 def _ml_data(c: Ctx, terms: int = K.TFIDF_MAX_FEATURES):
     """(doc_id, label, split, fold, features) with a top-k TF-IDF vocabulary fit on train."""
     idf = FE.tfidf_fit(c.split("train"), _train_tf(c), terms)
@@ -828,14 +822,14 @@ GBT_SPACE = {"n_estimators": ("int", *K.GBT_ROUNDS), "max_depth": ("int", *K.GBT
 def q_rf_random_search(spark, sf):
     c = ctx(spark, sf)
     d = _ml_data(c).where(F.col("split") == "train")
-    return CL.rf_random_search(d, _draws(spark, TREE_DRAWS, RF_SPACE))
+    return CL.rf_random_search(d, _draws(spark, K.RF_DRAWS, RF_SPACE))
 
 
 @query
 def q_gbt_random_search(spark, sf):
     c = ctx(spark, sf)
     d = _ml_data(c).where(F.col("split") == "train")
-    return CL.gbt_random_search(d, _draws(spark, TREE_DRAWS, GBT_SPACE))
+    return CL.gbt_random_search(d, _draws(spark, K.GBT_DRAWS, GBT_SPACE))
 
 
 HOLDOUT_SVM_SPACE = {"C": ("loguniform", *K.HOLDOUT_SVM_C), "gamma": ("loguniform", *K.HOLDOUT_SVM_GAMMA),
