@@ -801,7 +801,7 @@ def q_svm_linear_search(spark, sf):
 def q_svm_rbf_approx(spark, sf):
     c = ctx(spark, sf)
     d = _ml_data(c).where(F.col("split") == "train")
-    return CL.svm_rbf_approx(d, [(r["candidate_id"], r["C"], r["gamma"]) for r in _svm_draws(spark, "rbf")], _dims(d))
+    return CL.svm_rbf_approx(d, [(r["candidate_id"], r["C"], r["gamma"]) for r in _svm_draws(spark, "rbf")])
 
 
 def _dims(d: DataFrame) -> int:

@@ -95,10 +95,10 @@ def test_families_beat_the_majority_and_candidates_differ(spark):
                                "candidate_id long, n_estimators int, max_depth int, min_samples_split int, criterion string")
     r = {x["candidate_id"]: x for x in CL.rf_random_search(data, rf).collect()}
     assert r[0]["mean_accuracy"] == r[1]["mean_accuracy"] > majority + 0.1 and (r[0]["max_depth"], r[0]["fitted_depth"]) == (50, 50)
-    s = [x["mean_accuracy"] for x in CL.svm_linear_search(data, [(0, 10.0), (1, 1e-5)], max_iter=30).orderBy("candidate_id").collect()]
+    s = [x["mean_accuracy"] for x in CL.svm_linear_search(data, [(0, 10.0), (1, 1e-5)]).orderBy("candidate_id").collect()]
     assert s[0] > majority + 0.1 and s[0] != s[1]
-    z = [x["mean_accuracy"] for x in CL.svm_rbf_approx(data, [(0, 50.0, 1.0)], 3, components=64, max_iter=30).collect()]
+    z = [x["mean_accuracy"] for x in CL.svm_rbf_approx(data, [(0, 50.0, 1.0)]).collect()]
     assert z[0] > majority + 0.1
     plain = data.select("doc_id", "label", "fold", vector_to_array("features")[0].alias("a"), vector_to_array("features")[1].alias("b"))
-    lr = CL.lr_grid_search(plain, ("a", "b"), Cs=[1e-4, 1.0], max_iter=50).collect()
+    lr = CL.lr_grid_search(plain, ("a", "b"), Cs=[1e-4, 1.0]).collect()
     assert len(lr) == 4 and max(r["mean_accuracy"] for r in lr) > majority + 0.1 and len({r["mean_accuracy"] for r in lr}) > 1
