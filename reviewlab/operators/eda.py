@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,25 +70,73 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 
-def mean_by_label(df: DataFrame, value_col: str, label_col: str = "label") -> DataFrame:
-    """Mean with a normal 95 % interval per label (the bar-plot data)."""
-    g = df.groupBy(label_col).agg(F.avg(value_col).alias("mean"), F.stddev_samp(value_col).alias("std"),
-                                  F.count(value_col).cast("bigint").alias("n"))
-    half = F.lit(1.96) * F.col("std") / F.sqrt(F.col("n"))
-    return g.select(label_col, F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n",
-                    F.round(F.col("mean") - half, 6).alias("ci_low"),
-                    F.round(F.col("mean") + half, 6).alias("ci_high"))
+#: A Poisson(1) weight counts those that 16 uniform bits reach (cumulative probabilities times 2^16).
+POISSON_16 = [24109, 48219, 60273, 64291, 65296, 65497, 65531]
+REPLICATES = 1000
+DRAWS = 8       # weights that one md5 holds
+
 
+def bootstrap_intervals(df: DataFrame, value_cols, group: str, key: str = "doc_id", replicates: int = REPLICATES) -> DataFrame:
+    """(group, metric, ci_low, ci_high): the middle 95 % of the means of Poisson bootstrap replicates.
 
-def submean_by_label(df: DataFrame, value_cols, label_col: str = "label") -> DataFrame:
-    """Same for several score columns: unpivot, then group by (label, metric)."""
+    A row's weight in a replicate comes from a hash of (key, replicate), so no row is copied and
+    replicates are sums that add up over partitions: a row makes replicates / DRAWS partial sums,
+    what is shuffled is one row per group and hash.  Null values are left out.
+    """
+    cols = list(value_cols)
+    drawn = df.select(group, *[F.col(c).cast("double").alias(c) for c in cols], F.col(key).cast("string").alias("__key"),
+                      F.explode(F.sequence(F.lit(0), F.lit(replicates // DRAWS - 1))).alias("__block"))
+    code = F.md5(F.concat(F.lit("boot:"), F.coalesce("__key", F.lit("")), F.lit(":"), F.col("__block").cast("string")))
+    bits = drawn.withColumn("__h", code).select(group, *cols, "__block", *[F.conv(F.substring("__h", 4 * j + 1, 4), 16, 10).cast("int").alias(f"__x{j}") for j in range(DRAWS)])
+    weighed = bits.select(group, *cols, "__block", *[sum([(F.col(f"__x{j}") >= t).cast("int") for t in POISSON_16], F.lit(0)).alias(f"__w{j}") for j in range(DRAWS)])
+    sums = weighed.groupBy(group, "__block").agg(*[f for j in range(DRAWS) for i, c in enumerate(cols) for f in (
+        F.sum(F.when(F.col(c).isNotNull(), F.col(f"__w{j}"))).alias(f"__n{j}_{i}"), F.sum(F.col(f"__w{j}") * F.col(c)).alias(f"__s{j}_{i}"))])
+    means = F.array(*[F.struct(F.lit(c).alias("metric"), F.try_divide(F.col(f"__s{j}_{i}"), F.col(f"__n{j}_{i}")).alias("mean")) for j in range(DRAWS) for i, c in enumerate(cols)])
+    each = sums.select(F.col(group).alias("__group"), F.explode(means).alias("m"))
+    return each.groupBy("__group", F.col("m.metric").alias("__metric")).agg(F.expr("percentile(m.mean, array(0.025, 0.975))").alias("__ci"))
+
+
+def submean_by_label(df: DataFrame, value_cols, label_col: str = "label", key: str = "doc_id") -> DataFrame:
+    """Mean of several score columns per label with its bootstrap interval (the bar plots' data):
+    (label, metric, mean, std, n, ci_low, ci_high)."""
     long = df.unpivot([label_col], list(value_cols), "metric", "value")
     g = long.groupBy(label_col, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                               F.count("value").cast("bigint").alias("n"))
-    half = F.lit(1.96) * F.col("std") / F.sqrt(F.col("n"))
-    return g.select(label_col, "metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n",
-                    F.round(F.col("mean") - half, 6).alias("ci_low"),
-                    F.round(F.col("mean") + half, 6).alias("ci_high"))
+    ci = bootstrap_intervals(df, value_cols, label_col, key)
+    return (g.join(ci, g[label_col].eqNullSafe(ci["__group"]) & (g.metric == ci["__metric"]), "left")
+            .select(label_col, "metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n",
+                    F.round(F.col("__ci")[0], 6).alias("ci_low"), F.round(F.col("__ci")[1], 6).alias("ci_high")))
+
+
+def mean_by_label(df: DataFrame, value_col: str, label_col: str = "label", key: str = "doc_id") -> DataFrame:
+    """The same for one column, without its name."""
+    return submean_by_label(df, [value_col], label_col, key).drop("metric")
+
+
+GRID = 200      # points of a density curve
+CUT = 3         # bandwidths that it goes beyond the data
+
+
+def density_curves(df: DataFrame, cols, label_col: str = "label", grid: int = GRID) -> DataFrame:
+    """Gaussian kernel densities of score columns per label, each of area 1: (label, metric, point, x, density).
+
+    The bandwidth is Scott's, from one aggregate of (label, metric).  Rows are shared linearly
+    between the two grid points around them (one pass, a sum per point), and the kernel is
+    applied to the points instead of the rows.  Groups of one value have no curve.
+    """
+    long = df.unpivot([label_col], list(cols), "metric", "value").where(F.col("value").isNotNull())
+    stats = long.groupBy(label_col, "metric").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("std > 0")
+    width = F.col("std") * F.pow(F.col("n"), F.lit(-0.2))
+    stats = (stats.withColumn("width", width).withColumn("start", F.col("lo") - CUT * F.col("width"))
+             .withColumn("step", (F.col("hi") - F.col("lo") + 2 * CUT * F.col("width")) / (grid - 1)))
+    placed = long.join(stats, [label_col, "metric"]).withColumn("p", (F.col("value") - F.col("start")) / F.col("step")).withColumn("b", F.floor("p"))
+    share = F.array(F.struct(F.col("b").alias("point"), (F.col("b") + 1 - F.col("p")).alias("w")), F.struct((F.col("b") + 1).alias("point"), (F.col("p") - F.col("b")).alias("w")))
+    mass = placed.select(label_col, "metric", "n", "width", "start", "step", F.explode(share).alias("s")).groupBy(label_col, "metric", "n", "width", "start", "step", "s.point").agg(F.sum("s.w").alias("w"))
+    near = mass.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    z = (F.col("at") - F.col("point")) * F.col("step") / F.col("width")
+    curve = near.groupBy(label_col, "metric", "n", "width", "start", "step", "at").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("k"))
+    return curve.select(label_col, "metric", F.col("at").cast("int").alias("point"), F.round(F.col("start") + F.col("at") * F.col("step"), 6).alias("x"),
+                        F.round(F.col("k") / (F.col("n") * F.col("width") * math.sqrt(2 * math.pi)), 6).alias("density"))
 
 
 def pair_correlations(df: DataFrame, cols, label_col: str = "label") -> DataFrame:

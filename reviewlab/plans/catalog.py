@@ -409,6 +409,14 @@ def q_score_pair_grid(spark, sf):
     return E.pair_grid(both, ["vader_neg", "vader_neu", "vader_pos", "roberta_neg", "roberta_neu", "roberta_pos"])
 
 
+@query
+def q_score_density(spark, sf):
+    c = ctx(spark, sf)
+    v = _vader(c).select("doc_id", "label", *[F.col(k).alias("vader_" + k) for k in ("neg", "neu", "pos")])
+    both = v.join(_roberta(c).drop("label"), "doc_id")
+    return E.density_curves(both, ["vader_neg", "vader_neu", "vader_pos", "roberta_neg", "roberta_neu", "roberta_pos"])
+
+
 @query
 def q_join_scores_left(spark, sf):
     c = ctx(spark, sf)

@@ -15,6 +15,7 @@ from ..functions import text as TX
 from ..functions.dialect import DUCK as D
 from ..functions.dialect import keyed_bucket, keyed_unit
 from ..functions.porter import stem_array_sql
+from ..operators.eda import CUT, GRID, POISSON_16
 
 ORACLE: dict[str, str] = {}
 
@@ -493,23 +494,45 @@ def _():
                           "compound AS vader_compound FROM vader")
 
 
-def _mean_ci(src, val, label="label", extra=""):
-    g = f"{label}{', ' + extra if extra else ''}"
-    return (f"SELECT {g}, round(avg({val}), 6) AS mean, round(stddev_samp({val}), 6) AS std, count({val})::BIGINT AS n, "
-            f"round(avg({val}) - 1.96 * stddev_samp({val}) / sqrt(count({val})), 6) AS ci_low, "
-            f"round(avg({val}) + 1.96 * stddev_samp({val}) / sqrt(count({val})), 6) AS ci_high FROM {src} GROUP BY {g}")
+def _mean_ci(metrics):
+    """Means of columns of vader by label with Poisson bootstrap intervals, weights from md5."""
+    weight = " + ".join(f"(x >= {t})::INT" for t in POISSON_16)
+    long = " UNION ALL ".join(f"SELECT doc_id, label, '{m}' AS metric, {m} AS value FROM vader" for m in metrics)
+    return [f"long AS ({long})",
+            "draw AS (SELECT doc_id, r, ('0x' || substr(md5(concat('boot:', doc_id, ':', r // 8)), 4 * (r % 8) + 1, 4))::BIGINT AS x FROM (SELECT DISTINCT doc_id FROM vader), range(1000) t(r))",
+            f"weight AS (SELECT doc_id, r, {weight} AS w FROM draw)",
+            "replicate AS (SELECT label, metric, r, sum(w * value) / nullif(sum(w), 0) AS mean FROM long JOIN weight USING (doc_id) GROUP BY label, metric, r)",
+            "ci AS (SELECT label, metric, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM replicate GROUP BY label, metric)",
+            "mean_ci AS (SELECT l.label, l.metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value)::BIGINT AS n, "
+            "round(any_value(c.lo), 6) AS ci_low, round(any_value(c.hi), 6) AS ci_high FROM long l JOIN ci c ON l.label = c.label AND l.metric = c.metric GROUP BY l.label, l.metric)"]
 
 
 @sql("score_mean_by_label")
 def _():
-    return with_(*LEX) + _mean_ci("vader", "compound")
+    return with_(*LEX, *_mean_ci(["compound"])) + "SELECT label, mean, std, n, ci_low, ci_high FROM mean_ci"
 
 
 @sql("subscore_mean_by_label")
 def _():
-    src = ("(SELECT label, 'pos' AS metric, pos AS value FROM vader UNION ALL SELECT label, 'neu', neu FROM vader "
-           "UNION ALL SELECT label, 'neg', neg FROM vader)")
-    return with_(*LEX) + _mean_ci(src, "value", "label", "metric")
+    return with_(*LEX, *_mean_ci(["pos", "neu", "neg"])) + "SELECT * FROM mean_ci"
+
+
+@sql("score_density")
+def _():
+    cols = [f"{a}_{b}" for a in ("vader", "roberta") for b in ("neg", "neu", "pos")]
+    src = ("SELECT v.label, v.neg AS vader_neg, v.neu AS vader_neu, v.pos AS vader_pos, r.roberta_neg, r.roberta_neu, "
+           "r.roberta_pos FROM vader v JOIN roberta r ON v.doc_id = r.doc_id")
+    long = " UNION ALL ".join(f"SELECT label, '{c}' AS metric, {c} AS value FROM dsrc" for c in cols)
+    return with_(*LEX, ROBERTA, f"dsrc AS ({src})", f"dlong AS ({long})",
+                 "dstat AS (SELECT label, metric, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS width, min(value) AS lo, max(value) AS hi FROM dlong "
+                 "GROUP BY label, metric HAVING stddev_samp(value) > 0)",
+                 f"dgrid AS (SELECT *, lo - {CUT} * width AS start, (hi - lo + {2 * CUT} * width) / {GRID - 1} AS step FROM dstat)",
+                 "dplace AS (SELECT g.label, g.metric, (l.value - g.start) / g.step AS p FROM dlong l JOIN dgrid g ON l.label = g.label AND l.metric = g.metric)",
+                 "dmass AS (SELECT label, metric, point, sum(w) AS w FROM (SELECT label, metric, floor(p) AS point, floor(p) + 1 - p AS w FROM dplace "
+                 "UNION ALL SELECT label, metric, floor(p) + 1, p - floor(p) FROM dplace) GROUP BY label, metric, point)") + (
+        "SELECT g.label, g.metric, t.i::INTEGER AS point, round(g.start + t.i * g.step, 6) AS x, "
+        "round(sum(m.w * exp(-0.5 * pow((t.i - m.point) * g.step / g.width, 2))) / (g.n * g.width * sqrt(2 * pi())), 6) AS density "
+        f"FROM dgrid g JOIN dmass m ON g.label = m.label AND g.metric = m.metric, range({GRID}) t(i) GROUP BY g.label, g.metric, g.n, g.width, g.start, g.step, t.i")
 
 
 @sql("score_pair_grid")
