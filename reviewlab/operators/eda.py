@@ -115,6 +115,7 @@ def mean_by_label(df: DataFrame, value_col: str, label_col: str = "label", key:
 
 GRID = 200      # points of a density curve
 CUT = 3         # bandwidths that it goes beyond the data
+LEAST_SPREAD = 1e-4     # standard deviation from which scores have a curve
 
 
 def density_curves(df: DataFrame, cols, label_col: str = "label", grid: int = GRID) -> DataFrame:
@@ -122,10 +123,10 @@ def density_curves(df: DataFrame, cols, label_col: str = "label", grid: int = GR
 
     The bandwidth is Scott's, from one aggregate of (label, metric).  Rows are shared linearly
     between the two grid points around them (one pass, a sum per point), and the kernel is
-    applied to the points instead of the rows.  Groups of one value have no curve.
+    applied to the points instead of the rows.  Groups of one value, or nearly, have no curve.
     """
     long = df.unpivot([label_col], list(cols), "metric", "value").where(F.col("value").isNotNull())
-    stats = long.groupBy(label_col, "metric").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("std > 0")
+    stats = long.groupBy(label_col, "metric").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi")).where(F.col("std") > LEAST_SPREAD)
     width = F.col("std") * F.pow(F.col("n"), F.lit(-0.2))
     stats = (stats.withColumn("width", width).withColumn("start", F.col("lo") - CUT * F.col("width"))
              .withColumn("step", (F.col("hi") - F.col("lo") + 2 * CUT * F.col("width")) / (grid - 1)))
@@ -136,7 +137,7 @@ def density_curves(df: DataFrame, cols, label_col: str = "label", grid: int = GR
     z = (F.col("at") - F.col("point")) * F.col("step") / F.col("width")
     curve = near.groupBy(label_col, "metric", "n", "width", "start", "step", "at").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("k"))
     return curve.select(label_col, "metric", F.col("at").cast("int").alias("point"), F.round(F.col("start") + F.col("at") * F.col("step"), 6).alias("x"),
-                        F.round(F.col("k") / (F.col("n") * F.col("width") * math.sqrt(2 * math.pi)), 6).alias("density"))
+                        F.round(F.col("k") / (F.col("n") * F.col("width") * math.sqrt(2 * math.pi)), 4).alias("density"))
 
 
 def pair_correlations(df: DataFrame, cols, label_col: str = "label") -> DataFrame:

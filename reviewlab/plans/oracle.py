@@ -525,13 +525,13 @@ def _():
     long = " UNION ALL ".join(f"SELECT label, '{c}' AS metric, {c} AS value FROM dsrc" for c in cols)
     return with_(*LEX, ROBERTA, f"dsrc AS ({src})", f"dlong AS ({long})",
                  "dstat AS (SELECT label, metric, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS width, min(value) AS lo, max(value) AS hi FROM dlong "
-                 "GROUP BY label, metric HAVING stddev_samp(value) > 0)",
+                 "GROUP BY label, metric HAVING stddev_samp(value) > 0.0001)",
                  f"dgrid AS (SELECT *, lo - {CUT} * width AS start, (hi - lo + {2 * CUT} * width) / {GRID - 1} AS step FROM dstat)",
                  "dplace AS (SELECT g.label, g.metric, (l.value - g.start) / g.step AS p FROM dlong l JOIN dgrid g ON l.label = g.label AND l.metric = g.metric)",
                  "dmass AS (SELECT label, metric, point, sum(w) AS w FROM (SELECT label, metric, floor(p) AS point, floor(p) + 1 - p AS w FROM dplace "
                  "UNION ALL SELECT label, metric, floor(p) + 1, p - floor(p) FROM dplace) GROUP BY label, metric, point)") + (
         "SELECT g.label, g.metric, t.i::INTEGER AS point, round(g.start + t.i * g.step, 6) AS x, "
-        "round(sum(m.w * exp(-0.5 * pow((t.i - m.point) * g.step / g.width, 2))) / (g.n * g.width * sqrt(2 * pi())), 6) AS density "
+        "round(sum(m.w * exp(-0.5 * pow((t.i - m.point) * g.step / g.width, 2))) / (g.n * g.width * sqrt(2 * pi())), 4) AS density "
         f"FROM dgrid g JOIN dmass m ON g.label = m.label AND g.metric = m.metric, range({GRID}) t(i) GROUP BY g.label, g.metric, g.n, g.width, g.start, g.step, t.i")
 
 

@@ -72,17 +72,16 @@ def stream_retrieve(spark: SparkSession, questions: DataFrame | None, chunk_vect
     chunks from a static vector table (doc_id, chunk_no, embedding).
     Questions stream from ``source_path``, or are landed from ``questions``."""
     workdir = workdir or scratch_path(spark, "stream_retrieve")
-    src, sink, vec_path = source_path or f"{workdir}/in", f"{workdir}/out", f"{workdir}/vectors"
+    src, sink = source_path or f"{workdir}/in", f"{workdir}/out"
     q_type = questions.schema["query_id"].dataType.simpleString() if questions is not None else query_type
     if source_path is None:
         land_files(questions.select("query_id", "question"), src)
-    chunk_vectors.select("doc_id", "chunk_no", "embedding").write.mode("overwrite").parquet(vec_path)
-    vectors = spark.read.parquet(vec_path)
+    vectors = RT.packed_chunks(chunk_vectors)  # once for all epochs
     stream = _source(spark, f"query_id {q_type}, question string", src, files_per_batch)
 
     def handle(batch: DataFrame, epoch: int) -> None:
         qv = RT.embed(batch, "question")
-        hits = RT.top_k(qv, vectors, k, "query_id", ("doc_id", "chunk_no"))
+        hits = RT.top_k(qv, None, k, "query_id", ("doc_id", "chunk_no"), packed=vectors)
         hits.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     _run(stream, handle, workdir)

@@ -69,7 +69,6 @@ def test_blocked_top_k_equals_brute_force(spark, monkeypatch):
     e = S.load(spark, SF, "embeddings").repartition(3)
     monkeypatch.setattr(RT, "QUESTION_BLOCK", 64)
     monkeypatch.setattr(RT, "CHUNK_BLOCK", 50)
-    monkeypatch.setattr(RT, "QUESTIONS_AT_ONCE", 200)
     got = RT.top_k_self(e).collect()
     rows = e.orderBy("vec_id").collect()
     ids = np.array([r["vec_id"] for r in rows])
