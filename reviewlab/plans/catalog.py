@@ -541,6 +541,7 @@ def q_melt_board(spark, sf):
 
 # --------------------------------------------------------------- 2.11 retrieval
 from ..operators import retrieval as RT  # noqa: E402
+from ..operators import vector_index as VI  # noqa: E402
 from ..session import scratch_path, written  # noqa: E402
 
 
@@ -610,6 +611,14 @@ def q_retrieve_top_k_approx(spark, sf):
     return r.select("query_id", "rank", "vec_id", r6("score").alias("score"))
 
 
+@query
+def q_retrieve_top_k_trained(spark, sf):
+    e = ctx(spark, sf).table("embeddings")
+    index = VI.build(e)
+    r = VI.search(_questions(e).select(F.col("vec_id").alias("query_id"), "embedding"), index)
+    return r.select("query_id", "rank", "vec_id", r6("score").alias("score"))
+
+
 @query
 def q_chat_history(spark, sf):
     return RT.chat_history(ctx(spark, sf).table("conversations")).select("conv_id", "turn", "history", "n_prev")
