@@ -542,6 +542,7 @@ def q_melt_board(spark, sf):
 # --------------------------------------------------------------- 2.11 retrieval
 from ..operators import retrieval as RT  # noqa: E402
 from ..operators import vector_index as VI  # noqa: E402
+from ..sources import vector_store as VS  # noqa: E402
 from ..session import scratch_path, written  # noqa: E402
 
 
@@ -585,6 +586,18 @@ def q_write_vector_table(spark, sf):
     return back.select("doc_id", "chunk_no", "bucket", F.size("embedding").cast("bigint").alias("dims"))
 
 
+@query
+def q_upsert_vector_store(spark, sf):
+    """The training reviews' chunks, then those of all: the second run embeds the new ones only."""
+    c = ctx(spark, sf)
+    chunks = _chunks(c).join(c.sreviews.select("doc_id", "split"), "doc_id").select("doc_id", "chunk_no", "text", "split")
+    store = VS.VectorStore(spark, scratch_path(spark, "vector-store"))
+    store.upsert(chunks.where("split = 'train'").drop("split"), RT.embed)
+    store.upsert(chunks.drop("split"), RT.embed)
+    store.compact()
+    return store.snapshot().select("doc_id", "chunk_no", F.col(VS.VERSION).alias("version"), F.col(VS.CONTENT).alias("content"))
+
+
 def _questions(e: DataFrame) -> DataFrame:
     """The stated query set: rows whose id is divisible by 20."""
     return e.where(F.col("vec_id") % 20 == 0)
@@ -898,3 +911,15 @@ def q_stream_retrieve(spark, sf):
     qs = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     out = ST.stream_retrieve(spark, qs, _chunk_vectors(c), K.TOP_K)
     return out.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "chunk_no", r6("score").alias("score"))
+
+
+@query
+def q_stream_history(spark, sf):
+    """Two runs over one checkpoint: first the turns before 2, then the rest."""
+    turns = ctx(spark, sf).table("conversations").select("conv_id", "turn", "role", "text")
+    work = scratch_path(spark, "stream-history")
+    turns.where("turn < 2").write.mode("append").parquet(f"{work}/in")
+    ST.stream_conversations(spark, f"{work}/in", work)
+    turns.where("turn >= 2").write.mode("append").parquet(f"{work}/in")
+    out = ST.stream_conversations(spark, f"{work}/in", work)
+    return out.select("conv_id", "turn", "history", "n_prev")

@@ -708,6 +708,13 @@ def _():
         f"{K.EMBED_DIMS}::BIGINT AS dims FROM rchunks")
 
 
+@sql("upsert_vector_store")
+def _():
+    return with_(REVIEWS, RCHUNKS, SREVIEWS) + (
+        "SELECT r.doc_id, r.chunk_no, (CASE s.split WHEN 'train' THEN 1 ELSE 2 END)::BIGINT AS version, sha256(r.text) AS content "
+        "FROM rchunks r JOIN sreviews s ON r.doc_id = s.doc_id")
+
+
 EMB = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
@@ -754,6 +761,7 @@ HISTORY = ("hist AS (SELECT conv_id, turn, role, text, coalesce(string_agg(role
            "FROM conversations)")
 
 
+@sql("stream_history")
 @sql("chat_history")
 def _():
     return with_(HISTORY) + "SELECT conv_id, turn, history, n_prev FROM hist"

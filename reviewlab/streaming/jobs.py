@@ -9,13 +9,15 @@ lives in the checkpoint folder below the cluster's checkpoint root.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import bayes as NB
 from ..operators import retrieval as RT
 from ..operators import text as TXT
-from ..session import scratch_path
+from ..session import scratch_path, written
 
 
 def _run(stream: DataFrame, handle, workdir: str) -> None:
@@ -87,3 +89,72 @@ def stream_retrieve(spark: SparkSession, questions: DataFrame | None, chunk_vect
     _run(stream, handle, workdir)
     return spark.read.parquet(sink).drop("epoch").select("query_id", "rank", "doc_id", "chunk_no",
                                                          F.col("score"))
+
+
+REMEMBERED = "conv_id {0}, turn bigint, role string, text string, history string, n_prev bigint"
+
+
+def remembering(idle_ms: int | None):
+    """State function of a conversation: its lines so far and its last turn.
+
+    Rows of a batch are taken by turn; one at or before the last turn is a replay and adds
+    nothing.  Each new row comes out with the lines before it.
+    """
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        lines, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
+        out = []
+        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
+            if last is not None and turn <= last:
+                continue
+            out.append((key[0], turn, role, text, "\n".join(lines), len(lines)))
+            lines.append(f"{role}: {'' if text is None else text}")
+            last = turn
+        if lines:
+            state.update((lines, int(last)))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "history", "n_prev"])
+    return step
+
+
+def remembered(turns: DataFrame, idle_ms: int | None = None, key_type: str = "bigint") -> DataFrame:
+    """A stream of turns (conv_id, turn, role, text) with the history of their conversation, kept as keyed state.
+
+    idle_ms: time after which an idle conversation is forgotten, for queries that run on; a timeout asks for a
+    batch at any time, so a run over what is available now would not end with one.
+    Rows with a null key or turn are left out.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id").applyInPandasWithState(
+        remembering(idle_ms), REMEMBERED.format(key_type), "lines array<string>, last bigint", "append", timeout)
+
+
+def stream_conversations(spark: SparkSession, source_path: str, workdir: str, vectors: DataFrame | None = None, k: int = 3,
+                         files_per_batch: int | None = None, key_type: str = "bigint") -> DataFrame:
+    """Turns that have arrived since the last run over workdir, with their conversations' history (`remembered`).
+
+    The state lives in the checkpoint below workdir, so a later run goes on where the last one ended, and
+    turns that arrive again add nothing.  Turns of a conversation must arrive in order over batches (any order within
+    one).  Returns the sink: (conv_id, turn, role, text, history, n_prev), and with `vectors`
+    (`retrieval.packed_chunks`) the user turns' top-k chunks too, as an array `hits`.
+    """
+    sink = f"{workdir}/out"
+    turns = _source(spark, f"conv_id {key_type}, turn bigint, role string, text string", source_path, files_per_batch)
+    known = remembered(turns, None, key_type)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        if vectors is None:
+            batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+            return
+        rows = written(batch, "conversation-turns")  # the state function runs once an epoch
+        asked = rows.where("role = 'user'").withColumn("q", F.concat_ws(":", "conv_id", "turn"))
+        hits = RT.top_k(RT.embed(asked, "text"), None, k, "q", ("doc_id", "chunk_no"), packed=vectors)
+        listed = hits.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "chunk_no", "score"))).alias("hits"))
+        rows.withColumn("q", F.concat_ws(":", "conv_id", "turn")).join(listed, "q", "left").drop("q").write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    _run(known, handle, workdir)
+    return spark.read.parquet(sink).drop("epoch")
