@@ -97,8 +97,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         rank[r.lang] = rank.get(r.lang, 0) + 1
         if rank[r.lang] <= each:
             picked.append((r.k, r.lang, rank[r.lang] <= min(marks, LANDMARKS_EACH)))
-    rows = docs.join(F.broadcast(spark.createDataFrame(picked, "__k long, __lang string, __mark boolean")), F.col(key) == F.col("__k")).where(F.col(lang) == F.col("__lang"))
-    texts = [r[0] for r in rows.where("__mark").select(text).collect()]
+    own_rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = own_rows.join(F.broadcast(spark.createDataFrame(picked, "picked long, of string, mark boolean")), F.col("k") == F.col("picked")).where("l = of")
+    texts = [r[0] for r in rows.where("mark").select("t").collect()]
     sets = [np.unique(codes(t)) for t in texts]
     grams = np.unique(np.concatenate(sets)).astype(np.int32)
     known = np.zeros((len(sets), len(grams)), bool)
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             k = kernel(batch.column(0).to_pylist(), alphabet, landmarks)
             yield pa.RecordBatch.from_arrays([pa.array(list(k), pa.list_(pa.float32())), batch.column(1)], names=["k", "lang"])
 
-    sampled = rows.select(F.col(text).alias("t"), F.col("__lang").alias("l")).mapInArrow(features, "k array<float>, lang string").toPandas()
+    sampled = rows.select("t", F.col("of").alias("l")).mapInArrow(features, "k array<float>, lang string").toPandas()
     k = np.stack(sampled["k"].to_numpy()).astype(np.float64)
     bits = known.astype(np.float64)
     own = bits @ bits.T / np.sqrt(np.outer(bits.sum(axis=1), bits.sum(axis=1)))
