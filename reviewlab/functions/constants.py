@@ -114,5 +114,12 @@ BOOSTERS_DOWN = (
     "scarcely,slight,slightly,somewhat,sort of,sorta,sortof,sort-of"
 ).split(",")
 CONTRAST_WORD = "but"
+IDIOMS = {                    # word sequences with a valence of their own
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0,
+    "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0}
+NEVER_SO = 1.5                # "never so", "never this" right before a word
+NEVER_SO_FAR = 1.25           # the same one word farther off
+LEAST_AFTER = ("at", "very")  # "at least", "very least" don't negate
 LEXICON_CLIP = 4.0            # induced valences are clipped to [-4, 4]
 LEXICON_MIN_COUNT = 5         # minimum token frequency for an induced valence
+PHRASE_WORDS = (2, 3)         # words of an induced phrase

@@ -60,10 +60,11 @@ def score_from_valences(docs: DataFrame, valences: DataFrame, keys=("doc_id",),
     return out
 
 
-def raw_words(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def raw_words(docs: DataFrame, key: str = "doc_id", text_col: str = "text", ahead: int = 0) -> DataFrame:
     """(key, pos, word, low, caps, p1..p4, c1..c3, first_but): each raw word with the four
     before it, lower-cased, whether it and the three before are ALL-CAPS in a text
-    that isn't wholly so, and the place of the first contrast word.  Row-local: no window."""
+    that isn't wholly so, and the place of the first contrast word.  Row-local: no window.
+    With ``ahead`` also run: the lower-cased words from this one on, that many at most."""
     words = docs.select(key, F.expr(TX.raw_words_sql(SPARK, text_col)).alias("w"))
     caps = F.transform("w", _caps)
     lists = words.select(key, "w", F.transform("w", lambda x: F.lower(x)).alias("l"), caps.alias("c"))
@@ -74,7 +75,8 @@ def raw_words(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
     return at.select(key, "pos", "word", F.col("l")[F.col("pos")].alias("low"), F.col("c")[F.col("pos")].alias("caps"),
                      *[F.get("l", F.col("pos") - i).alias(f"p{i}") for i in (1, 2, 3, 4)],
                      *[F.coalesce(F.get("c", F.col("pos") - i), F.lit(False)).alias(f"c{i}") for i in (1, 2, 3)],
-                     F.when(F.col("first_but") >= 0, F.col("first_but")).alias("first_but"))
+                     F.when(F.col("first_but") >= 0, F.col("first_but")).alias("first_but"),
+                     *([F.slice("l", F.col("pos") + 1, ahead).alias("run")] if ahead else []))
 
 
 def _caps(x):
@@ -82,31 +84,50 @@ def _caps(x):
     return x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}")
 
 
-def context_valences(words: DataFrame, stems: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, word, valence) of every raw word, 0 for words outside the lexicon.
+def word_valences(stems: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(low, valence) of the words whose stem is in the lexicon."""
+    return stems.join(lexicon, stems["stem"] == lexicon["token"]).select(F.col("word").alias("low"), "valence")
 
-    words: raw_words; stems: (word, stem) of the lower-cased words; lexicon: (token, valence)
-    by stem.  The valence is raised for ALL-CAPS, raised or lowered by intensifiers and
-    dampeners (one word or two) among the three words before, turned for each negation among
-    them, and weighted by the side of the first "but" it stands on.
-    """
-    v0 = F.coalesce(F.col("valence"), F.lit(0.0))
+
+def boosted(v0):
+    """v0 raised for ALL-CAPS, raised or lowered by intensifiers and dampeners among the three words before."""
     sign = F.when(v0 > 0, F.lit(1.0)).when(v0 < 0, F.lit(-1.0)).otherwise(F.lit(0.0))
     v = v0 + sign * F.when(F.col("caps"), F.lit(K.CAPS_INCREMENT)).otherwise(F.lit(0.0))
-    negations = F.lit(0)
     for i, damp in zip((1, 2, 3), K.DISTANCE_DAMPING):
         one, two = F.col(f"p{i}"), F.concat(F.col(f"p{i + 1}"), F.lit(" "), F.col(f"p{i}"))
         step = (F.when(one.isin(K.BOOSTERS_UP), F.lit(K.BOOST_INCREMENT))
                 .when(one.isin(K.BOOSTERS_DOWN) | F.coalesce(two.isin(K.BOOSTERS_DOWN), F.lit(False)), F.lit(K.BOOST_DECREMENT)))
         step = step + F.when(F.col(f"c{i}"), F.lit(K.CAPS_INCREMENT)).otherwise(F.lit(0.0))
         v = v + sign * F.coalesce(step, F.lit(0.0)) * damp
-        turned = one.isin(K.NEGATIONS) | one.contains("n't")
-        negations = negations + F.coalesce(turned.cast("int"), F.lit(0))
-    but = (F.when(F.col("pos") < F.col("first_but"), F.lit(K.BUT_BEFORE))
-           .when(F.col("pos") > F.col("first_but"), F.lit(K.BUT_AFTER)).otherwise(F.lit(1.0)))
-    by_word = (stems.join(lexicon, stems["stem"] == lexicon["token"]).select(F.col("word").alias("low"), "valence"))
-    joined = words.join(by_word, "low", "left")
-    return joined.select(key, "pos", "word", F.round(v * F.pow(F.lit(K.NEGATION_SCALAR), negations) * but, 6).alias("valence"))
+    return v
+
+
+def negates(i: int):
+    """Whether the word i places before is a negation."""
+    one = F.col(f"p{i}")
+    return F.coalesce(one.isin(K.NEGATIONS) | one.contains("n't"), F.lit(False))
+
+
+def contrast():
+    """Weight by the side of the first "but"."""
+    return (F.when(F.col("pos") < F.col("first_but"), F.lit(K.BUT_BEFORE))
+            .when(F.col("pos") > F.col("first_but"), F.lit(K.BUT_AFTER)).otherwise(F.lit(1.0)))
+
+
+def context_valences(words: DataFrame, stems: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, word, valence) of every raw word, 0 for words outside the lexicon.
+
+    words: raw_words; stems: (word, stem) of the lower-cased words; lexicon: (token, valence)
+    by stem.  The valence is raised for ALL-CAPS, raised or lowered by intensifiers and
+    dampeners (one word or two) among the three words before, turned for each negation among
+    them, and weighted by the side of the first "but" it stands on.
+    """
+    v = boosted(F.coalesce(F.col("valence"), F.lit(0.0)))
+    negations = F.lit(0)
+    for i in (1, 2, 3):
+        negations = negations + negates(i).cast("int")
+    joined = words.join(word_valences(stems, lexicon), "low", "left")
+    return joined.select(key, "pos", "word", F.round(v * F.pow(F.lit(K.NEGATION_SCALAR), negations) * contrast(), 6).alias("valence"))
 
 
 def lexicon_score(docs: DataFrame, valences: DataFrame, keys=("doc_id",), text_col: str = "text") -> DataFrame:

@@ -335,6 +335,7 @@ def q_error_rows(spark, sf):
 # ------------------------------------------------------- 2.9 lexicon scoring
 from ..operators import inference as INF  # noqa: E402
 from ..operators import lexicon as LX  # noqa: E402
+from ..operators import phrases as PH  # noqa: E402
 
 def _lexicon(c: Ctx) -> DataFrame:
     return LX.induce_lexicon(_nb_model(c))
@@ -385,6 +386,35 @@ def q_lexicon_context(spark, sf):
     return v.where(F.col("valence") != 0)
 
 
+def _phrases(c: Ctx) -> DataFrame:
+    """The published idioms, and phrases of the training reviews that aren't among them."""
+    runs = LX.raw_words(c.split("train"), ahead=max(K.PHRASE_WORDS)).join(c.split("train").select("doc_id", "label"), "doc_id")
+    idioms = c.spark.createDataFrame(list(K.IDIOMS.items()), "phrase string, valence double")
+    return PH.induce_phrases(runs).where(~F.col("phrase").isin(*K.IDIOMS)).unionByName(idioms)
+
+
+def _phrase_valences(c: Ctx) -> DataFrame:
+    stems = TXT.stem_vocabulary(LX.raw_words(c.sreviews), "low")
+    return PH.phrase_valences(c.sreviews, stems, _lexicon(c), _phrases(c))
+
+
+@query
+def q_induce_phrases(spark, sf):
+    return _phrases(ctx(spark, sf))
+
+
+@query
+def q_lexicon_phrases(spark, sf):
+    return _phrase_valences(ctx(spark, sf)).where(F.col("valence") != 0)
+
+
+@query
+def q_lexicon_phrase_score(spark, sf):
+    c = ctx(spark, sf)
+    docs = c.sreviews.select("doc_id", "label", "text")
+    return LX.lexicon_score(docs, _phrase_valences(c)).select("doc_id", "label", "neg", "neu", "pos", "compound")
+
+
 @query
 def q_prefix_columns(spark, sf):
     v = _vader(ctx(spark, sf))

@@ -421,6 +421,12 @@ def _in(xs):
     return "(" + ", ".join(D.lit(x) for x in xs) + ")"
 
 
+STEPS = " + ".join(
+    f"coalesce(CASE WHEN p{i} IN {_in(K.BOOSTERS_UP)} THEN {K.BOOST_INCREMENT} "
+    f"WHEN p{i} IN {_in(K.BOOSTERS_DOWN)} OR coalesce((p{i + 1} || ' ' || p{i}) IN {_in(K.BOOSTERS_DOWN)}, false) THEN {K.BOOST_DECREMENT} END "
+    f"+ CASE WHEN c{i} THEN {K.CAPS_INCREMENT} ELSE 0.0e0 END, 0.0e0) * {damp}" for i, damp in zip((1, 2, 3), K.DISTANCE_DAMPING))
+
+
 def _valences_sql() -> list[str]:
     """val: every raw word's valence in context, by list indexing."""
     def before(name, i, none):
@@ -435,12 +441,8 @@ def _valences_sql() -> list[str]:
             + ", ".join(f"mixed AND {before('c', i, 'false')} AS c{i}" for i in (1, 2, 3)) + " FROM wat)")
     wstem = f"wstem AS ({stem_table('SELECT DISTINCT low AS w FROM wctx')})"
     v0 = "wv AS (SELECT r.*, coalesce(x.valence, 0.0e0) AS v0, sign(coalesce(x.valence, 0.0e0)) AS sg FROM wctx r JOIN wstem s ON r.low = s.o LEFT JOIN lexicon x ON s.stem = x.token)"
-    steps = " + ".join(
-        f"coalesce(CASE WHEN p{i} IN {_in(K.BOOSTERS_UP)} THEN {K.BOOST_INCREMENT} "
-        f"WHEN p{i} IN {_in(K.BOOSTERS_DOWN)} OR coalesce((p{i + 1} || ' ' || p{i}) IN {_in(K.BOOSTERS_DOWN)}, false) THEN {K.BOOST_DECREMENT} END "
-        f"+ CASE WHEN c{i} THEN {K.CAPS_INCREMENT} ELSE 0.0e0 END, 0.0e0) * {damp}" for i, damp in zip((1, 2, 3), K.DISTANCE_DAMPING))
     negs = " + ".join(f"coalesce(CAST((p{i} IN {_in(K.NEGATIONS)} OR contains(p{i}, {D.lit(NT)})) AS INTEGER), 0)" for i in (1, 2, 3))
-    v = (f"(v0 + sg * CASE WHEN caps THEN {K.CAPS_INCREMENT} ELSE 0.0e0 END + sg * ({steps})) * pow({K.NEGATION_SCALAR}, {negs}) "
+    v = (f"(v0 + sg * CASE WHEN caps THEN {K.CAPS_INCREMENT} ELSE 0.0e0 END + sg * ({STEPS})) * pow({K.NEGATION_SCALAR}, {negs}) "
          f"* CASE WHEN fb < 0 THEN 1.0e0 WHEN pos < fb THEN {K.BUT_BEFORE} WHEN pos > fb THEN {K.BUT_AFTER} ELSE 1.0e0 END")
     return [lists, at, each, wstem, v0, f"val AS (SELECT doc_id, pos, word, round({v}, 6) AS valence FROM wv)"]
 
@@ -488,6 +490,68 @@ def _():
         "SELECT doc_id, pos::INTEGER AS pos, word, valence FROM val WHERE valence <> 0")
 
 
+def _phrases_sql() -> list[str]:
+    """phrases: idioms and induced sequences; uval: units in context, matches by a recursive walk."""
+    lengths = ", ".join(f"({n})" for n in K.PHRASE_WORDS)
+    idioms = ", ".join(f"({D.lit(p)}, {v}::DOUBLE)" for p, v in K.IDIOMS.items())
+    grams = (f"grams AS (SELECT a.doc_id, a.pos, t.n, array_to_string(a.l[a.pos + 1:a.pos + t.n], ' ') AS phrase "
+             f"FROM wat a, (VALUES {lengths}) t(n) WHERE a.pos + t.n <= len(a.l))")
+    counts = ("gcount AS (SELECT g.n, g.phrase, count(*) FILTER (WHERE r.label = 1) AS n_pos, count(*) FILTER (WHERE r.label = 0) AS n_neg "
+              "FROM grams g JOIN sreviews r ON g.doc_id = r.doc_id WHERE r.split = 'train' AND r.label IN (0, 1) GROUP BY g.n, g.phrase)")
+    total = "gtotal AS (SELECT n, sum(n_pos) AS t_pos, sum(n_neg) AS t_neg, count(*) AS kinds FROM gcount GROUP BY n)"
+    odds = "ln((n_pos + 1.0e0) / (t_pos + kinds)) - ln((n_neg + 1.0e0) / (t_neg + kinds))"
+    phrases = (f"phrases AS (SELECT phrase, round(greatest(-4.0e0, least(4.0e0, {odds})), 3) AS valence FROM gcount JOIN gtotal USING (n) "
+               f"WHERE n_pos + n_neg >= {K.LEXICON_MIN_COUNT} AND phrase NOT IN {_in(K.IDIOMS)} UNION ALL SELECT * FROM (VALUES {idioms}) i(phrase, valence))")
+    at = "gat AS (SELECT doc_id, pos, max(n) AS n, arg_max(valence, n) AS valence FROM grams JOIN phrases USING (phrase) GROUP BY doc_id, pos)"
+    step = "gstep AS (SELECT a.doc_id, a.pos, b.pos AS nxt FROM (SELECT *, pos + n AS e FROM gat) a ASOF JOIN gat b ON a.doc_id = b.doc_id AND a.e <= b.pos)"
+    walk = ("walk AS (SELECT doc_id, min(pos) AS pos FROM gat GROUP BY doc_id UNION ALL "
+            "SELECT s.doc_id, s.nxt FROM walk w JOIN gstep s ON w.doc_id = s.doc_id AND w.pos = s.pos)")
+    spans = "spans AS (SELECT g.* FROM gat g JOIN walk w ON g.doc_id = w.doc_id AND g.pos = w.pos)"
+    inside = "inside AS (SELECT doc_id, unnest(range(pos, pos + n)) AS pos FROM spans)"
+    known = "known AS (SELECT DISTINCT s.o AS low FROM wstem s JOIN lexicon x ON s.stem = x.token)"
+    units = ("units AS (SELECT v.*, 1 AS n FROM wv v ANTI JOIN inside i ON v.doc_id = i.doc_id AND v.pos = i.pos UNION ALL BY NAME "
+             "SELECT v.* EXCLUDE (v0, sg, word), s.valence AS v0, 0.0e0 AS sg, s.n, array_to_string(a.l[a.pos + 1:a.pos + s.n], ' ') AS word "
+             "FROM wv v JOIN spans s ON v.doc_id = s.doc_id AND v.pos = s.pos JOIN wat a ON a.doc_id = s.doc_id AND a.pos = s.pos)")
+    first = (f"CASE WHEN u.n = 1 AND u.low = 'no' AND k.low IS NOT NULL THEN 0.0e0 ELSE u.v0 END * CASE WHEN coalesce(p1 = 'no', false) "
+             f"OR coalesce(p2 = 'no', false) OR coalesce(p3 = 'no' AND p1 IN ('or', 'nor'), false) THEN {K.NEGATION_SCALAR} ELSE 1.0e0 END")
+    base = (f"ubase AS (SELECT u.* EXCLUDE (v0, sg), {first} AS v0 FROM units u JOIN wat a ON u.doc_id = a.doc_id AND u.pos = a.pos "
+            "LEFT JOIN known k ON k.low = a.l[a.pos + 2])")
+    signed = "usign AS (SELECT *, sign(v0) AS sg FROM ubase)"
+    neg = {i: f"coalesce(p{i} IN {_in(K.NEGATIONS)} OR contains(p{i}, {D.lit(NT)}), false)" for i in (1, 2, 3)}
+    so = {i: f"coalesce(p{i} IN ('so', 'this'), false)" for i in (1, 2)}
+    turn = K.NEGATION_SCALAR
+    factor = (f"CASE WHEN {neg[1]} THEN {turn} ELSE 1.0e0 END "
+              f"* CASE WHEN coalesce(p2 = 'never', false) AND {so[1]} THEN {K.NEVER_SO} WHEN {neg[2]} THEN {turn} ELSE 1.0e0 END "
+              f"* CASE WHEN coalesce(p3 = 'never', false) AND ({so[1]} OR {so[2]}) THEN {K.NEVER_SO_FAR} WHEN {neg[3]} THEN {turn} ELSE 1.0e0 END "
+              f"* CASE WHEN coalesce(p1 = 'least', false) AND NOT coalesce(p2 IN {_in(K.LEAST_AFTER)}, false) THEN {turn} ELSE 1.0e0 END")
+    v = (f"(v0 + sg * CASE WHEN caps THEN {K.CAPS_INCREMENT} ELSE 0.0e0 END + sg * ({STEPS})) * {factor} "
+         f"* CASE WHEN fb < 0 THEN 1.0e0 WHEN pos < fb THEN {K.BUT_BEFORE} WHEN pos > fb THEN {K.BUT_AFTER} ELSE 1.0e0 END")
+    return [grams, counts, total, phrases, at, step, walk, spans, inside, known, units, base, signed,
+            f"uval AS (SELECT doc_id, pos, word, n, round({v}, 6) AS valence FROM usign)"]
+
+
+PHRASES = [*TOKBASE, NB_FREQS, NB_MODEL, LEXICON, *VAL, *_phrases_sql()]
+
+
+def with_recursive(*ctes: str) -> str:
+    return with_(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@sql("induce_phrases")
+def _():
+    return with_recursive(*PHRASES) + "SELECT phrase, valence FROM phrases"
+
+
+@sql("lexicon_phrases")
+def _():
+    return with_recursive(*PHRASES) + "SELECT doc_id, pos::INTEGER AS pos, word, n::INTEGER AS n, valence FROM uval WHERE valence <> 0"
+
+
+@sql("lexicon_phrase_score")
+def _():
+    return with_recursive(*PHRASES, VSUM.replace("FROM val ", "FROM uval "), VADJ, VADER) + "SELECT doc_id, label, neg, neu, pos, compound FROM vader"
+
+
 @sql("prefix_columns")
 def _():
     return with_(*LEX) + ("SELECT doc_id, neg AS vader_neg, neu AS vader_neu, pos AS vader_pos, "
