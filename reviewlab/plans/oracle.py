@@ -502,8 +502,8 @@ def _phrases_sql() -> list[str]:
     odds = "ln((n_pos + 1.0e0) / (t_pos + kinds)) - ln((n_neg + 1.0e0) / (t_neg + kinds))"
     phrases = (f"phrases AS (SELECT phrase, round(greatest(-4.0e0, least(4.0e0, {odds})), 3) AS valence FROM gcount JOIN gtotal USING (n) "
                f"WHERE n_pos + n_neg >= {K.LEXICON_MIN_COUNT} AND phrase NOT IN {_in(K.IDIOMS)} UNION ALL SELECT * FROM (VALUES {idioms}) i(phrase, valence))")
-    at = "gat AS (SELECT doc_id, pos, max(n) AS n, arg_max(valence, n) AS valence FROM grams JOIN phrases USING (phrase) GROUP BY doc_id, pos)"
-    step = "gstep AS (SELECT a.doc_id, a.pos, b.pos AS nxt FROM (SELECT *, pos + n AS e FROM gat) a ASOF JOIN gat b ON a.doc_id = b.doc_id AND a.e <= b.pos)"
+    at = "gat AS MATERIALIZED (SELECT doc_id, pos, max(n) AS n, arg_max(valence, n) AS valence FROM grams JOIN phrases USING (phrase) GROUP BY doc_id, pos)"
+    step = "gstep AS MATERIALIZED (SELECT a.doc_id, a.pos, b.pos AS nxt FROM (SELECT *, pos + n AS e FROM gat) a ASOF JOIN gat b ON a.doc_id = b.doc_id AND a.e <= b.pos)"
     walk = ("walk AS (SELECT doc_id, min(pos) AS pos FROM gat GROUP BY doc_id UNION ALL "
             "SELECT s.doc_id, s.nxt FROM walk w JOIN gstep s ON w.doc_id = s.doc_id AND w.pos = s.pos)")
     spans = "spans AS (SELECT g.* FROM gat g JOIN walk w ON g.doc_id = w.doc_id AND g.pos = w.pos)"
