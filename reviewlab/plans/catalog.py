@@ -335,6 +335,7 @@ def q_error_rows(spark, sf):
 # ------------------------------------------------------- 2.9 lexicon scoring
 from ..operators import inference as INF  # noqa: E402
 from ..operators import lexicon as LX  # noqa: E402
+from ..operators import padded as PAD  # noqa: E402
 from ..operators import phrases as PH  # noqa: E402
 
 def _lexicon(c: Ctx) -> DataFrame:
@@ -547,6 +548,30 @@ def q_pipeline_label(spark, sf):
     return v.select("doc_id", "label", "verdict", r6("confidence").alias("confidence"))
 
 
+def _subword_scores(c: Ctx) -> DataFrame:
+    """All reviews scored in padded batches by the weights of the training reviews' subwords, which
+    reach the driver as one number per id of the vocabulary file at most."""
+    import public_tokenizers
+    encoder = PAD.subword_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    train = c.split("train")
+    ids = PAD.subword_table(train, encoder).join(train.select("doc_id", "label"), "doc_id")
+    weights = {r[0]: r[1] for r in PAD.subword_weights(ids).collect()}
+    return PAD.batch_score_padded(c.reviews, PAD.weighted_subwords_factory(weights), encoder)
+
+
+@query
+def q_batch_score_padded(spark, sf):
+    c = ctx(spark, sf)
+    s = _subword_scores(c)
+    return s.select("doc_id", *_rounded_scores(s), "n_tokens").join(c.reviews.select("doc_id", "label"), "doc_id")
+
+
+@query
+def q_batch_padding(spark, sf):
+    s = written(_subword_scores(ctx(spark, sf)), "padded-scores")
+    return PAD.padding_report(s, S.assign_row_id(s.select("doc_id", "n_tokens")))
+
+
 def _board(c: Ctx) -> DataFrame:
     """One computed row per model, all scored on the test reviews."""
     nb = EV.evaluate_model(_nb_scores(c), "naive_bayes")
