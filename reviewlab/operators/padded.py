@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from .inference import _scores
 
-#: Rows sorted together; a task holds their ids (at most K.TRUNCATE_TOKENS each), never their partition.
+#: Rows sorted together; a task holds their ids (at most max_tokens each), never its partition.
 POOL_ROWS = 4096
 #: Rows times longest row of a batch.
 TOKEN_BUDGET = 16384
+#: Characters (and a text) that the library holds its own records of at once.
+ENCODED_AT_ONCE = 1 << 18
+#: Rows whose whole ids are held at once.
+ROWS_AT_ONCE = 64
 
 
 def subword_encoder(path: str) -> Callable:
@@ -32,7 +36,17 @@ def subword_encoder(path: str) -> Callable:
         t.no_truncation()
         t.no_padding()
         t.encode_special_tokens = True
-        return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+        def encode(texts):
+            out, part, size = [], [], 0
+            for x in texts:
+                part.append(x)
+                size += len(x)
+                if size >= ENCODED_AT_ONCE:
+                    out += [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+                    part, size = [], 0
+            return out + [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+        return encode
     return make
 
 
@@ -40,7 +54,7 @@ def subword_table(df: DataFrame, encoder: Callable, key: str = "doc_id", text_co
     """(key, ids): the subwords of each whole text, null as an empty one."""
     def run(it):
         encode = encoder()
-        for rows in it:
+        for rows in (b.slice(i, ROWS_AT_ONCE) for b in it for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             ids = pa.array(encode(rows.column("text").to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column(0), ids], [key, "ids"])
     rows = df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -60,12 +74,12 @@ def batches_of(lengths: list[int], budget: int = TOKEN_BUDGET) -> Iterator[list[
         yield batch
 
 
-def padded(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Ids filled with 0 to the longest row, and which of them are a text's own."""
     lengths = np.array([len(x) for x in ids])
     own = np.arange(max(1, lengths.max())) < lengths[:, None]
     out = np.zeros(own.shape, np.int64)
-    out[own] = np.concatenate([np.asarray(x, np.int64) for x in ids])
+    out[own] = np.concatenate(ids)
     return out, own
 
 
@@ -98,10 +112,10 @@ def batch_score_padded(df: DataFrame, factory: Callable, encoder: Callable, key:
 
         keys, ids = [], []
         for batch in it:
-            for i in range(0, batch.num_rows, 256):      # whole texts' ids are held for that many rows only
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
                 keys.append(part.column(0))
-                ids += [x[:max_tokens] for x in encode(part.column("text").to_pylist())]
+                ids += [np.array(x[:max_tokens], np.int32) for x in encode(part.column("text").to_pylist())]
                 if len(ids) >= pool:
                     yield from answers(keys, ids)
                     keys, ids = [], []
