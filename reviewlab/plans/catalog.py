@@ -553,8 +553,7 @@ def _subword_scores(c: Ctx) -> DataFrame:
     reach the driver as one number per id of the vocabulary file at most."""
     import public_tokenizers
     encoder = PAD.subword_encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    train = c.split("train")
-    ids = PAD.subword_table(train, encoder).join(train.select("doc_id", "label"), "doc_id")
+    ids = PAD.subword_table(c.split("train"), encoder, key="label")
     weights = {r[0]: r[1] for r in PAD.subword_weights(ids).collect()}
     return PAD.batch_score_padded(c.reviews, PAD.weighted_subwords_factory(weights), encoder)
 
