@@ -29,11 +29,14 @@ def induce_phrases(runs: DataFrame, words: tuple = K.PHRASE_WORDS, min_count: in
             .where((F.size("run") >= F.col("n")) & F.col("y").isin(0, 1))
             .select("y", "n", F.array_join(F.slice("run", 1, F.col("n")), " ").alias("phrase")))
     y = F.col("y")
-    counts = written(each.groupBy("n", "phrase").agg(F.count_if(y == 1).alias("n_pos"), F.count_if(y == 0).alias("n_neg")), "phrase-counts")
-    totals = counts.groupBy("n").agg(F.sum("n_pos").alias("t_pos"), F.sum("n_neg").alias("t_neg"), F.count(F.lit(1)).alias("kinds"))
+    counts = each.groupBy("n", "phrase").agg(F.count_if(y == 1).alias("n_pos"), F.count_if(y == 0).alias("n_neg"))
+    # rare phrases only add to the totals: they are written as one row for each number of words
+    frequent = F.when(F.col("n_pos") + F.col("n_neg") >= min_count, F.col("phrase")).alias("phrase")
+    counts = written(counts.groupBy("n", frequent).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.count(F.lit(1)).alias("kinds")), "phrase-counts")
+    totals = counts.groupBy("n").agg(F.sum("n_pos").alias("t_pos"), F.sum("n_neg").alias("t_neg"), F.sum("kinds").alias("kinds"))
     odds = F.log((F.col("n_pos") + 1) / (F.col("t_pos") + F.col("kinds"))) - F.log((F.col("n_neg") + 1) / (F.col("t_neg") + F.col("kinds")))
     # totals: one row for each number of words
-    return (counts.where(F.col("n_pos") + F.col("n_neg") >= min_count).join(F.broadcast(totals), "n")
+    return (counts.where(F.col("phrase").isNotNull()).drop("kinds").join(F.broadcast(totals), "n")
             .select("phrase", F.round(F.greatest(F.lit(-clip), F.least(F.lit(clip), odds)), 3).alias("valence")))
 
 
@@ -54,31 +57,36 @@ def depth_of(trie: DataFrame) -> int:
     return trie.agg(F.max("depth")).first()[0] or 0
 
 
-def matches(words: DataFrame, trie: DataFrame, depth: int, key: str = "doc_id") -> DataFrame:
-    """The rows of words at which phrases start, with n words each and their valence: leftmost
-    first, of those at one place the longest, none overlapping another.
+def matches(words: DataFrame, trie: DataFrame, depth: int, key: str = "doc_id", also: tuple = ()) -> DataFrame:
+    """(key, also..., pos, n, valence): the places at which phrases start, with n words each and
+    their valence: leftmost first, of those at one place the longest, none overlapping another.
 
-    words: key, pos and run (at least ``depth`` words).  A key's matches go through one task in
-    order, which holds nothing but the end of the last one; rows without a key have none.
+    words: key, pos, run (at least ``depth`` words) and the columns of ``also``, which tell rows of
+    one key apart.  A key's matches go through one task in order, which holds nothing but the end
+    of the last one; rows without a key have none.  Only these columns pass through the joins.
     """
-    columns = [c for c in words.columns if c != "valence"]
-    live = words.select(*columns, F.lit("").alias("__node")).where(F.col(key).isNotNull())
+    keys = [key, *also]
+    live = words.select(*keys, "pos", "run", F.lit("").alias("__node")).where(F.col(key).isNotNull())
     found = None
     for k in range(1, depth + 1):
         level = trie.where(F.col("depth") == k).select("prefix", F.col("valence").alias("__v"), "more")
-        word = F.get("run", F.lit(k - 1))
-        live = live.withColumn("prefix", word if k == 1 else F.concat_ws(" ", "__node", word)).where(word.isNotNull()).join(level, "prefix")
-        here = live.where(F.col("__v").isNotNull()).select(*columns, F.lit(k).alias("n"), F.col("__v").alias("valence"))
+        word = F.get("run", F.lit(0))
+        rest = F.slice("run", 2, depth).alias("run")
+        live = (live.where(word.isNotNull()).select(*keys, "pos", rest, (word if k == 1 else F.concat_ws(" ", "__node", word)).alias("prefix"))
+                .join(level, "prefix"))
+        if k > 1:   # each level is read by its matches and by the next level
+            live = written(live, f"phrase-level-{k}")
+        here = live.where(F.col("__v").isNotNull()).select(*keys, "pos", F.lit(k).alias("n"), F.col("__v").alias("valence"))
         found = here if found is None else found.unionByName(here)
-        live = live.where("more").select(*columns, F.col("prefix").alias("__node"))
+        live = live.where("more").select(*keys, "pos", "run", F.col("prefix").alias("__node"))
     if found is None:
-        return words.select(*columns).limit(0).withColumns({"n": F.lit(0), "valence": F.lit(0.0)})
+        return words.select(*keys, "pos").limit(0).withColumns({"n": F.lit(0), "valence": F.lit(0.0)})
 
     def taken(batches):
         last, end = None, 0
         for pdf in batches:
             keep = []
-            for i, (k, pos, n) in enumerate(zip(pdf[key], pdf["pos"], pdf["n"])):
+            for i, (pos, n, *k) in enumerate(zip(pdf["pos"], pdf["n"], *[pdf[c] for c in keys])):
                 if k != last:
                     last, end = k, 0
                 if pos >= end:
@@ -86,9 +94,23 @@ def matches(words: DataFrame, trie: DataFrame, depth: int, key: str = "doc_id")
                     keep.append(i)
             yield pdf.iloc[keep]
 
-    small = found.select(key, "pos", "n").repartition(key).sortWithinPartitions(key, "pos", F.desc("n"))
-    chosen = small.mapInPandas(taken, small.schema)
-    return found.join(chosen, [key, "pos", "n"]).select(*columns, "n", "valence")
+    return found.repartition(*keys).sortWithinPartitions(*keys, "pos", F.desc("n")).mapInPandas(taken, found.schema)
+
+
+def unit_places(spans, size):
+    """(pos, n, valence) of a text's units in order, from its spans in order: the spans, and between
+    them places of one word and no valence.  Grows with the words of the text."""
+    plain = lambda x: F.struct(x.cast("int").alias("pos"), F.lit(1).alias("n"), F.lit(None).cast("double").alias("valence"))
+    none = F.array().cast("array<struct<pos:int,n:int,valence:double>>")
+
+    def places(low, high):
+        return F.when(low < high, F.transform(F.sequence(low, high - 1), plain)).otherwise(none)
+
+    def before(i):
+        at = F.get(spans, i - 1)
+        return F.coalesce(at["pos"] + at["n"], F.lit(0))
+    gaps = F.transform(spans, lambda x, i: F.concat(places(before(i), x["pos"]), F.array(x)))
+    return F.concat(F.flatten(gaps), places(before(F.size(spans)), size))
 
 
 def phrase_valences(docs: DataFrame, stems: DataFrame, lexicon: DataFrame, phrases: DataFrame,
@@ -105,32 +127,46 @@ def phrase_valences(docs: DataFrame, stems: DataFrame, lexicon: DataFrame, phras
     """
     trie = written(phrase_trie(phrases), "trie", ("depth",))
     depth = depth_of(trie)
-    words = LX.raw_words(docs, key, text_col, ahead=max(2, depth))
-    spans = written(matches(words, trie, depth, key), "phrase-matches")
-    inside = spans.select(key, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
+    lists = docs.select(key, text_col, F.xxhash64(text_col).alias("__text"))
+    starts = LX.raw_words(lists, key, text_col, ahead=max(1, depth), carry=("__text",))
+    span = F.struct(F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"), F.col("valence").cast("double").alias("valence"))
+    spans = (written(matches(starts, trie, depth, key, ("__text",)), "phrase-matches")
+             .groupBy(key, "__text").agg(F.sort_array(F.collect_list(span)).alias("__spans")))
+    # spans meet whole texts, not words; a text's units follow row by row
+    texts = LX.word_lists(lists.join(spans, [key, "__text"], "left"), (key, "__spans"), text_col)
+    none = F.array().cast("array<struct<pos:int,n:int,valence:double>>")
+    units = texts.withColumn("__u", F.explode(unit_places(F.coalesce("__spans", none), F.size("w"))))
+    units = units.select(key, "l", "c", "w", "first_but", F.col("__u.pos").alias("pos"), F.col("__u.n").alias("n"), F.col("__u.valence").alias("__v"))
+    run = F.array_join(F.slice("l", F.col("pos") + 1, F.col("n")), " ")
+    units = units.select(key, "pos", "n", "__v", F.when(F.col("__v").isNull(), F.get("w", F.col("pos"))).otherwise(run).alias("word"),
+                         *LX.around(), F.get("l", F.col("pos") + 1).alias("__next"))
     by_word = LX.word_valences(stems, lexicon)
-    plain = words.join(inside, [key, "pos"], "left_anti").join(by_word, "low", "left").withColumn("n", F.lit(1))
-    units = plain.unionByName(spans.withColumn("word", F.array_join(F.slice("run", 1, F.col("n")), " ")))
-    # only the rows of "no" are looked up again, by the word after them
     no = (F.col("low") == "no") & (F.col("n") == 1)
-    after = by_word.select(F.col("low").alias("__next"))
-    quiet = (units.where(no).withColumn("__next", F.get("run", F.lit(1))).join(after, "__next", "left_semi")
-             .drop("__next").withColumn("valence", F.lit(0.0)))
-    other = units.where(no).withColumn("__next", F.get("run", F.lit(1))).join(after, "__next", "left_anti").drop("__next")
-    units = units.where(~F.coalesce(no, F.lit(False))).unionByName(quiet).unionByName(other)
-    return units.select(key, "pos", "word", "n", F.round(_in_context(), 6).alias("valence"))
-
-
-def _in_context():
-    """The valence of a unit after the rules of the words before it."""
+    units = units.select(key, "pos", "n", "__v", "word", no.alias("__no"), F.when(no, F.col("__next")).otherwise(F.col("low")).alias("low"),
+                         *LX.steps(), *_context())
+    # one lookup: of the word itself, or of the word after a "no"
+    itself = by_word.where(F.col("low") == "no").agg(F.max("valence")).scalar()
+    looked = units.join(by_word, "low", "left")
+    valence = (F.when(F.col("__no") & F.col("valence").isNotNull(), F.lit(0.0))
+               .otherwise(F.coalesce("__v", F.when(F.col("__no"), itself).otherwise(F.col("valence")))))
+    v0 = F.coalesce(valence, F.lit(0.0))
+    # one-element generators end the chain: a filter on the valence doesn't repeat its rules, and
+    # the generated method stays short enough to be compiled
+    looked = looked.select(key, "pos", "word", "n", "a0", "a1", "a2", "a3", "factor", "side", F.explode(F.array(v0 * F.col("turn"))).alias("__v0"))
+    valence = F.round(LX.boosted(F.col("__v0")) * F.col("factor") * F.col("side"), 6)
+    return looked.select(key, "pos", "word", "n", F.explode(F.array(valence)).alias("valence"))
+
+
+def _context():
+    """turn, factor and side of a unit: what the words before it make of its valence."""
     def at(i, *values):
-        return F.coalesce(F.col(f"p{i}").isin(*values), F.lit(False))
+        one = F.coalesce(f"p{i}", F.lit(""))
+        return one.isin(*values)
     turn = F.lit(K.NEGATION_SCALAR)
-    v0 = F.coalesce(F.col("valence"), F.lit(0.0))
-    v0 = v0 * F.when(at(1, "no") | at(2, "no") | (at(3, "no") & at(1, "or", "nor")), turn).otherwise(F.lit(1.0))
     so = {i: at(i, "so", "this") for i in (1, 2)}
     factor = (F.when(LX.negates(1), turn).otherwise(F.lit(1.0))
               * F.when(at(2, "never") & so[1], F.lit(K.NEVER_SO)).when(LX.negates(2), turn).otherwise(F.lit(1.0))
               * F.when(at(3, "never") & (so[1] | so[2]), F.lit(K.NEVER_SO_FAR)).when(LX.negates(3), turn).otherwise(F.lit(1.0))
               * F.when(at(1, "least") & ~at(2, *K.LEAST_AFTER), turn).otherwise(F.lit(1.0)))
-    return LX.boosted(v0) * factor * LX.contrast()
+    return [F.when(at(1, "no") | at(2, "no") | (at(3, "no") & at(1, "or", "nor")), turn).otherwise(F.lit(1.0)).alias("turn"),
+            factor.alias("factor"), LX.contrast().alias("side")]

@@ -102,3 +102,27 @@ def test_families_beat_the_majority_and_candidates_differ(spark):
     plain = data.select("doc_id", "label", "fold", vector_to_array("features")[0].alias("a"), vector_to_array("features")[1].alias("b"))
     lr = CL.lr_grid_search(plain, ("a", "b"), Cs=[1e-4, 1.0]).collect()
     assert len(lr) == 4 and max(r["mean_accuracy"] for r in lr) > majority + 0.1 and len({r["mean_accuracy"] for r in lr}) > 1
+
+
+def test_raw_words_in_one_pass_keep_the_rule(spark):
+    texts = ["...", " 'a' ", "don’t--stop", " x y ", "a b \U0001d400 été!", "x" * 3000 + "-" * 3000, "-" * 3000, "1st,2nd \t\n (x)", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edge = r"^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$"
+    want = docs.select("doc_id", F.expr(f"filter(transform(split(replace(coalesce(text, ''), '’', '\\''), '\\\\s+'), x -> regexp_replace(x, '{edge}', '')), x -> x <> '')").alias("w"))
+    got = {r["doc_id"]: r["w"] for r in LX.word_lists(docs).collect()}
+    assert got == {r["doc_id"]: r["w"] for r in want.collect()} and got[0] == [] and got[2] == ["don't--stop"]
+
+
+def test_no_neighbours_pass_through_the_lexicon_join(spark):
+    docs = spark.createDataFrame([(1, "I like it")], "doc_id long, text string")
+    words = LX.raw_words(docs)
+    stems = words.select(F.col("low").alias("word"), F.col("low").alias("stem")).distinct()
+    df = LX.context_valences(words, stems, spark.createDataFrame([("like", 2.0)], "token string, valence double"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert " AS p1" not in plan[join + 1] and " AS c3" not in plan[join + 1]
+    assert plan[join + 2:] and not any("Aggregate" in line for line in plan[join:])     # stems are read, not made again
+    s = LX.lexicon_score(docs, df).select("doc_id", "compound")
+    plan = s._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert "text#" not in plan[join].split("Join")[1] and "__amp" in plan[join + 1]       # the texts stay behind

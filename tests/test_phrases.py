@@ -80,3 +80,23 @@ def test_induced_valences_by_hand(spark):
     got = {r["phrase"]: r["valence"] for r in PH.induce_phrases(runs.join(labels, "doc_id"), (2, 3), 2).collect()}
     # pairs: x y 2/1, y x 1/0, y z 0/1 -> 3 in positive, 2 in negative, 3 kinds; triples are empty: runs have two words
     assert got == {"x y": 0.223}   # ln(3/6) - ln(2/5)
+
+
+def test_rows_of_one_key_keep_their_own_phrases(spark):
+    docs, stems, lexicon, phrases = fixtures(spark, [])
+    docs = spark.createDataFrame([(1, "the bomb like"), (1, "it is like a x"), (1, "the bomb like")], "doc_id long, text string")
+    stems = LX.raw_words(docs).select(F.col("low").alias("word"), F.col("low").alias("stem")).distinct()
+    got = sorted((r["pos"], r["word"], r["n"]) for r in PH.phrase_valences(docs, stems, lexicon, phrases).where("valence <> 0").collect())
+    assert got == [(0, "the bomb", 2), (0, "the bomb", 2), (2, "like", 1), (2, "like", 1), (2, "like a", 2)]
+
+
+def test_texts_are_cut_into_units_once(spark):
+    docs, stems, lexicon, phrases = fixtures(spark, ["no like the bomb"])
+    df = PH.phrase_valences(docs, stems, lexicon, phrases)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") + plan.count("split(") == 1 and "Join LeftAnti" not in plan
+
+
+def test_rare_phrases_count_in_the_totals_only(spark):
+    runs = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "b"]), (0, ["a", "c"]), (0, ["d", "e"]), (1, ["f"])], "label int, run array<string>")
+    assert [tuple(r) for r in PH.induce_phrases(runs, (2,), 2).collect()] == [("a b", 1.099)]   # ln(3/5) - ln(1/5): 3 kinds, 2 and 2 occurrences
