@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -163,3 +165,22 @@ def test_recursive_chunks_by_the_plain_rule(spark):
         assert r["meta"] == "m%d" % r["doc_id"]
         got.setdefault(r["doc_id"], []).append(r["text"])
     assert got == {i: slow_chunks(t) for i, t in enumerate(texts) if slow_chunks(t)}
+
+
+def test_recursive_chunks_grow_no_arrays_in_the_plan_and_are_trimmed_as_the_engine_does(spark):
+    ends = ["\x85", "\u2028", " \x85", " \x85 ", "\n\u2029", "\u2029\n", "\xa0 ", "\r\n", "\x1c ", " \u2028\x85"]
+    texts = [x + "a b" + y for x in ["", " \t", "\x85 ", "\x0b\x0c"] for y in ends] + ends
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    chunks = RT.chunk_documents_recursive(docs)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "MapInArrow" in plan
+    want = docs.select("doc_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
+    assert {(r.doc_id, r.text) for r in chunks.collect()} == {(r.doc_id, r.text) for r in want.collect()}
+
+
+def test_long_text_is_packed_in_one_pass():
+    text = "word " * 400_000
+    began = time.process_time()
+    chunks = RT._chunks_of(text, 1000, 100)
+    assert time.process_time() - began < 20
+    assert all(len(c) <= 1000 for c in chunks) and chunks[1].startswith("word word")
