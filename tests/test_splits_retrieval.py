@@ -1,3 +1,5 @@
+import hashlib
+import re
 import time
 
 import numpy as np
@@ -184,3 +186,34 @@ def test_long_text_is_packed_in_one_pass():
     chunks = RT._chunks_of(text, 1000, 100)
     assert time.process_time() - began < 20
     assert all(len(c) <= 1000 for c in chunks) and chunks[1].startswith("word word")
+
+
+def test_embedding_hashes_each_distinct_word_once(spark):
+    texts = ["the cat sat on The mat", "été naïve été", "", "  1 2 3", "a" * 300 + " b", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    out = RT.embed(df)
+    assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    codes = RT.WordCodes(64)
+    for r in out.collect():
+        v = np.zeros(64)
+        for w in re.findall(r"[^\W\d_]+", (texts[r.i] or "").lower()):
+            h, g = (int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in (w, "s:" + w))
+            v[h % 64] += 1 if g % 2 == 0 else -1
+            assert codes[w] == (h % 64 + 1) * (1 if g % 2 == 0 else -1)
+        assert np.allclose(r.embedding, v / (np.linalg.norm(v) or 1))
+
+
+def test_best_scores_are_those_of_a_whole_sort():
+    rng = np.random.default_rng(3)
+    for cols in (3, 200, 1000, 4097):
+        S = rng.integers(0, 40, (50, cols)) / 8.0
+        S[:, ::7] = -np.inf
+        S[7] = -np.inf
+        for odd in (False, True):
+            if odd:
+                S[3, 1] = S[5, :] = np.nan
+            n = min(5, cols)
+            least = np.sort(S, axis=1)[:, cols - n]
+            want = np.nonzero((S >= least[:, None]) & (S > -np.inf))
+            got = RT._best(S, 5)
+            assert all((a == b).all() for a, b in zip(got, want))
