@@ -8,6 +8,7 @@ look-ups, and the best few are ranked again by their vectors.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ SAMPLE, CELLS, CODES, ROUNDS = 16_384, 1024, 256, 8
 WIDTH = 4
 #: Coded rows, and questions, that meet in a task.
 BLOCK, QUESTIONS = 65_536, 1024
+#: Copies of questions, one for each cell to read, that are made at once.
+COPIES = 4096
 #: Candidates ranked by their vectors, per wanted row.
 AGAIN = 20
 #: Share of the exact nearest that an audit of so many questions must find before its number of cells is taken.
@@ -111,6 +114,15 @@ def build(table: DataFrame, key: str = "vec_id", vec: str = "embedding", cells:
     return Index(trained, written(blocks, "index-blocks"), vectors, key)
 
 
+def copies(b: pd.DataFrame, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A row of b (q, v) for each of its cells, at most COPIES rows at once however many cells are read."""
+    some = max(1, COPIES // cell.shape[1])
+    for s in range(0, len(b), some):
+        for t in range(0, cell.shape[1], COPIES):
+            part, of = b.iloc[s:s + some], cell[s:s + some, t:t + COPIES]
+            yield pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), of.shape[1]), "v": np.repeat(part["v"].to_numpy(), of.shape[1]), "cell": of.reshape(-1).astype(np.int32)})
+
+
 def candidates(questions: DataFrame, index: Index, probes: int, wanted: int, itself: bool) -> DataFrame:
     """(q, key): the `wanted` best rows of each question's nearest cells by their codes.
 
@@ -123,7 +135,7 @@ def candidates(questions: DataFrame, index: Index, probes: int, wanted: int, its
         for b in batches:
             if len(b):
                 cell = nearest(np.stack(b["v"].to_numpy()), trained.cells, probes)
-                yield pd.DataFrame({"q": np.repeat(b["q"].to_numpy(), cell.shape[1]), "v": np.repeat(b["v"].to_numpy(), cell.shape[1]), "cell": cell.reshape(-1).astype(np.int32)})
+                yield from copies(b, cell)
     asked = questions.mapInPandas(probed, f"q {q_kind}, v array<double>, cell int")
     groups = max(1, math.ceil(questions.count() / QUESTIONS))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).join(index.blocks.select("cell", "blocks").distinct(), "cell")

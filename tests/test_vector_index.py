@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,16 @@ def test_empty_and_null_vectors(spark):
     found = VI.search(q, VI.build(e), 3).collect()
     assert {r.query_id for r in found} == {0, 20} and len(found) == 6
     assert VI.search(q, VI.build(e.limit(0)), 3).collect() == []
+
+
+def test_questions_are_copied_to_their_cells_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(VI, "COPIES", 10)
+    rng = np.random.default_rng(2)
+    for rows, cells in ((25, 3), (7, 10), (4, 33), (1, 1)):
+        b = pd.DataFrame({"q": np.arange(rows), "v": list(rng.normal(size=(rows, 4)))})
+        cell = np.stack([rng.permutation(50)[:cells] for _ in range(rows)])
+        parts = list(VI.copies(b, cell))
+        assert max(len(x) for x in parts) <= 10
+        got = pd.concat(parts)
+        assert sorted(zip(got["q"], got["cell"])) == sorted((i, c) for i in range(rows) for c in cell[i])
+        assert all((v == b["v"][q]).all() for q, v in zip(got["q"], got["v"]))
