@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from .inference import _scores
@@ -50,15 +51,17 @@ def subword_encoder(path: str) -> Callable:
     return make
 
 
-def subword_table(df: DataFrame, encoder: Callable, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, ids): the subwords of each whole text, null as an empty one."""
+def subword_table(df: DataFrame, encoder: Callable, key: str = "doc_id", text_col: str = "text", carry=()) -> DataFrame:
+    """(key, carry..., ids): the subwords of each whole text, null as an empty one."""
+    kept = [key, *carry]
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in kept]).add("ids", T.ArrayType(T.IntegerType()))
+
     def run(it):
         encode = encoder()
         for rows in (b.slice(i, ROWS_AT_ONCE) for b in it for i in range(0, b.num_rows, ROWS_AT_ONCE)):
-            ids = pa.array(encode(rows.column("text").to_pylist()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), ids], [key, "ids"])
-    rows = df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
+            ids = pa.array(encode(rows.column(len(kept)).to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], ids], [*kept, "ids"])
+    return df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)
 
 
 def batches_of(lengths: list[int], budget: int = TOKEN_BUDGET) -> Iterator[list[int]]:
@@ -83,13 +86,13 @@ def padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, own
 
 
-def batch_score_padded(df: DataFrame, factory: Callable, encoder: Callable, key: str = "doc_id", text_col: str = "text",
+def batch_score_padded(df: DataFrame, factory: Callable, encoder: Callable | None, key: str = "doc_id", text_col: str = "text",
                        max_tokens: int = K.TRUNCATE_TOKENS, budget: int = TOKEN_BUDGET, pool: int = POOL_ROWS,
                        prefix: str = "roberta_") -> DataFrame:
     """(key, neg, neu, pos, compound with the prefix, n_tokens, batch_tokens) per row.
 
     encoder() gives a function from texts to lists of ids, of which the first ``max_tokens`` are
-    read (n_tokens); factory() gives one from padded ids and their mask to logits.  batch_tokens is
+    read (n_tokens); without it, df has the lists in a column ids (`subword_table`).  factory() gives one from padded ids and their mask to logits.  batch_tokens is
     the width of the batch that a row was in, so its sum is what the model read.  A null text is an
     empty one; keys may be null or repeated, each row has its answer; an empty table has none.
     Scores don't depend on the order of rows as long as the model reads no more than the mask allows.
@@ -99,7 +102,7 @@ def batch_score_padded(df: DataFrame, factory: Callable, encoder: Callable, key:
               + ", ".join(f"`{c}` double" for c in names[1:5]) + ", n_tokens long, batch_tokens long")
 
     def run(it):
-        encode, model = encoder(), factory()
+        encode, model = encoder and encoder(), factory()
 
         def answers(keys, ids):
             keys = pa.concat_arrays(keys)
@@ -115,14 +118,19 @@ def batch_score_padded(df: DataFrame, factory: Callable, encoder: Callable, key:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(i, ROWS_AT_ONCE)
                 keys.append(part.column(0))
-                ids += [np.array(x[:max_tokens], np.int32) for x in encode(part.column("text").to_pylist())]
+                if encode is None:
+                    lists = part.column(1)
+                    ids += [np.array(lists[i].values[:max_tokens], np.int32) for i in range(len(lists))]
+                else:
+                    ids += [np.array(x[:max_tokens], np.int32) for x in encode(part.column(1).to_pylist())]
                 if len(ids) >= pool:
                     yield from answers(keys, ids)
                     keys, ids = [], []
         if ids:
             yield from answers(keys, ids)
 
-    return df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    read = F.col("ids") if encoder is None else F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(key, read.alias("__read")).mapInArrow(run, schema)
 
 
 def subword_weights(ids: DataFrame, label_col: str = "label") -> DataFrame:

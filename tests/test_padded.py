@@ -76,3 +76,17 @@ def test_queries(spark):
     assert r["tokens"] <= r["padded_after"] <= r["padded_before"] <= 512 * r["texts"]
     s = REGISTRY["batch_score_padded"](spark, SF_SMALL)
     assert s.count() == r["texts"] and s.where("(roberta_compound > 0) = (label = 1)").count() > 0.6 * r["texts"]
+
+
+def test_scores_from_encoded_texts_are_those_of_the_texts(spark):
+    import public_tokenizers
+    encoder = PAD.subword_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", None, "one two three", "word " * 700, "é\u2028 <|endoftext|> 😀"]
+    df = spark.createDataFrame([(i % 4, t, i % 2) for i, t in enumerate(texts)] + [(None, "no key", 1)], "doc_id long, text string, label int")
+    ids = PAD.subword_table(df, encoder, carry=("label",))
+    assert ids.columns == ["doc_id", "label", "ids"]
+    weights = {r[0]: r[1] for r in PAD.subword_weights(ids).collect()}
+    model = PAD.weighted_subwords_factory(weights)
+    kept = [c for c in PAD.batch_score_padded(df, model, encoder).columns if c != "batch_tokens"]
+    a, b = (sorted(map(str, PAD.batch_score_padded(x, model, e).select(*kept).collect())) for x, e in ((df, encoder), (ids, None)))
+    assert a == b and len(a) == 6
