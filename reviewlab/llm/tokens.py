@@ -75,13 +75,14 @@ class Encoder:
         if simple and self.ranked(spec, pieces, special):
             # merges in the order of ids: the same ids, several times faster
             self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces) if i not in special.values()}, special_tokens=special)
-            encode = (lambda w: self.core.encode(w, allowed_special="all")) if special else self.core.encode_ordinary
+            self.special, self.encode = set(special), self.whole
         else:
             self.core = Tokenizer.from_file(path)
             self.core.no_truncation()
             self.core.no_padding()
             encode = lambda w: self.core.encode(w, add_special_tokens=False).ids
-        self.first, self.rest = WordIds(encode, ""), WordIds(encode, " ")
+            self.first, self.rest = WordIds(encode, ""), WordIds(encode, " ")
+            self.encode = self.by_words
 
     @staticmethod
     def ranked(spec: dict, pieces: list[bytes], special: dict) -> bool:
@@ -92,8 +93,15 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; none for null or empty text."""
-        if not text:
-            return b""
+        return self.encode(text) if text else b""
+
+    def whole(self, text: str) -> bytes:
+        """Real texts hold too many distinct words for a cache to beat the core on the whole text.
+        Special tokens are looked for only in texts that hold one."""
+        found = {s for s in self.special if s in text}
+        return self.core.encode_to_numpy(text, allowed_special=found, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def by_words(self, text: str) -> bytes:
         head, *tail = words_of(text)
         return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
 

@@ -40,6 +40,15 @@ def test_encoder_on_any_text(text):
         assert sum((ids(bpe.plain(w)) for w in bpe.marked(text)), []) == ids(text)
 
 
+def test_whole_texts_are_encoded_without_a_cache_of_words(monkeypatch):
+    from reviewlab.llm import tokens
+    monkeypatch.setattr(tokens, "words_of", None)
+    enc = Encoder(PATH)
+    for text in [*ODD, "a " * 5000 + "<|endoftext|>" + " " * 3000 + "<|endoftext| >", "".join(f"w{i} " for i in range(5000))]:
+        assert np.frombuffer(enc(text), "<u4").tolist() == ids(text)
+    assert not any(isinstance(x, dict) and x for x in vars(enc).values())
+
+
 def test_bpe_rows(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
     rows = [(i, t, 0) for i, t in enumerate(ODD)] + [(None, "null key", 0), (3, None, 0), (1, "x y " * 500, 0), (1, "x y " * 500, 0)]
