@@ -5,9 +5,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from reviewlab.functions import constants as K
 from reviewlab.operators import classifiers as CL
 from reviewlab.operators import inference as INF
 from reviewlab.operators import lexicon as LX
+from reviewlab.operators import text as TXT
 
 # by hand, with a valence of 2.0 for "like" and -2.0 for "awful"
 SENTENCES = {
@@ -126,3 +128,21 @@ def test_no_neighbours_pass_through_the_lexicon_join(spark):
     plan = s._jdf.queryExecution().optimizedPlan().toString().splitlines()
     join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
     assert "text#" not in plan[join].split("Join")[1] and "__amp" in plan[join + 1]       # the texts stay behind
+
+
+def test_texts_of_one_row_group_are_spread_before_the_work_on_them(spark, tmp_path):
+    rows = [(i, f"Word{i} is VERY good!!, isn't it? But {'' if i % 3 else 'w'}", "train") for i in range(64)] + [(100, None, "train"), (101, " ", "test")]
+    spark.createDataFrame(rows, "doc_id long, text string, split string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs = spark.read.parquet(str(tmp_path / "one"))
+    words = LX.raw_words(docs)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning(doc_id", 1)
+    assert "regexp_extract_all" in above and "regexp_extract_all" not in below
+    got = {}
+    for r in words.orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.word)
+    assert got == {i: [f"Word{i}", "is", "VERY", "good", "isn't", "it", "But", *([] if i % 3 else ["w"])] for i in range(64)}
+    long = TXT.corpus_tokens(docs, keep=("doc_id", "split"))
+    assert len([f for f in long.inputFiles() if "raw-tokens" in f and f.endswith(".parquet")]) > 1
+    amp = docs.select("doc_id", LX.punctuation_amplifier().alias("a")).where("doc_id in (1, 100)").orderBy("doc_id").collect()
+    assert [round(r.a, 3) for r in amp] == [round(2 * K.EXCLAMATION_STEP, 3), 0.0]
