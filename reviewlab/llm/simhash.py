@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import fresh, written
+from .store import fresh, growing, written
 
 BITS = 64
 SEED = 42
@@ -106,7 +106,7 @@ def ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
         around = around.unionAll(ring)
     hub = (around.groupBy("point").agg(F.min(F.when(F.col("r") <= near, F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("n"))
            .where("n > 1 and hub is not null").select("point", "hub"))
-    return around.select("fp", "point").join(hub, "point").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    return around.select("fp", "point").join(growing(hub), "point").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -114,10 +114,10 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     as many as connect the same ones where more than PAIRWISE share a signature."""
     index = fps.select("fp", F.explode(signatures(F.col("fp"), max_bits)).alias("sig"))
     crowded = written(index.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRWISE).select("sig"), "crowded")
-    small = index.join(crowded, "sig", "left_anti")
-    pairs = (small.select(F.col("fp").alias("u"), "sig").join(small.select(F.col("fp").alias("v"), "sig"), "sig")
+    small = index.join(growing(crowded), "sig", "left_anti")
+    pairs = (small.select(F.col("fp").alias("u"), "sig").join(growing(small.select(F.col("fp").alias("v"), "sig")), "sig")
              .where((F.col("u") < F.col("v")) & (differing("u", "v") <= max_bits)).select("u", "v").distinct())
-    many = index.join(crowded, "sig", "left_semi").select("fp").distinct()
+    many = index.join(growing(crowded), "sig", "left_semi").select("fp").distinct()
     return pairs.unionAll(ball_links(many, max_bits))
 
 
@@ -130,10 +130,10 @@ def near_groups(rows: DataFrame, key: str = "doc_id", fp: str = "fp", max_bits:
     """
     fps = written(rows.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("first")), "fingerprints")
     roots = components(links(fps.select("fp"), max_bits))
-    grouped = (fps.join(roots, fps.fp == roots.node, "left")
+    grouped = (fps.join(growing(roots), fps.fp == roots.node, "left")
                .select("fp", "first", F.coalesce("root", "fp").alias("grp")))
     least = grouped.groupBy("grp").agg(F.min("first").alias("component_id"))
-    return grouped.select("fp", "grp").join(least, "grp").select("fp", "grp", "component_id")
+    return grouped.select("fp", "grp").join(growing(least), "grp").select("fp", "grp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4,
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     fp, of = fresh(*docs.columns), fresh(*docs.columns)
     hashed = written(docs.select(*keep, fingerprint(docs[text], words).alias(fp)), "hashed")
     groups = near_groups(hashed, key, fp, max_bits)
-    return (hashed.join(groups.select(F.col("fp").alias(of), F.struct(hex_of(F.col("fp")).alias("fingerprint"), "grp", "component_id").alias(out)),
+    return (hashed.join(growing(groups.select(F.col("fp").alias(of), F.struct(hex_of(F.col("fp")).alias("fingerprint"), "grp", "component_id").alias(out))),
                         F.col(fp) == F.col(of), "left")
             .select(*[hashed[c] for c in keep], out))
 

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from reviewlab.llm import lines, passages
 from reviewlab.llm import simhash as S
 from reviewlab.llm.components import components
 from reviewlab.llm.queries import QUERIES
@@ -101,3 +102,15 @@ def test_query_against_brute_force(spark):
     got = QUERIES["op1_simhash_dedup"](spark, sf).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert {r.doc_id: r.fingerprint for r in got} == {i: f"{f:016x}" for (i, _), f in zip(rows, fps)}
+
+
+def test_no_join_sends_a_table_that_grows_to_the_driver(spark):
+    """However small the planner takes it for: exploded signatures are sized like their fingerprints."""
+    docs = spark.createDataFrame([(i, f"a line of some words {i % 7}\nand another one {i}") for i in range(40)], "doc_id long, text string")
+    fps = spark.createDataFrame([(i * 7919,) for i in range(40)], "fp long")
+    found = [S.links(fps), S.near_groups(fps.withColumn("doc_id", F.col("fp"))), S.near_duplicates(docs), lines.line_report(docs), lines.without_repeated_lines(docs),
+             passages.passage_report(docs), passages.without_repeated_passages(docs)]
+    for df in found:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
